@@ -46,8 +46,8 @@ RULES = (
     Rule("n_words", 20, 1_000_000),
     Rule("mean_word_chars", 2.0, 20.0),
     Rule("symbols_per_word", None, 0.1),
-    Rule("stop_words_per_word", 0.06, None),
-    Rule("dup_lines_per_line", None, 0.3),
+    Rule("stop_words_per_word", 0.03, None),
+    Rule("dup_lines_per_line", None, 0.5),
     Rule("bullet_lines_per_line", None, 0.9),
     Rule("ellipsis_lines_per_line", None, 0.3),
 )
