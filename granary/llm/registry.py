@@ -36,8 +36,17 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from granary.llm.tokens import token_counts
+
+    return token_counts(spark, read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_token_counts": op3_token_counts,
     "op6_chat_formatting": op6_chat_formatting,
 }
 
