@@ -29,8 +29,7 @@ BLOCK_CHARS = 24_000_000
 
 Split = Callable[[str], list[str]]
 
-WORDS = "block long, words array<string>"
-DOCS = "block long, ids array<long>, n_bytes array<long>, lengths array<int>, n_words int, body binary"
+DOCS = "block long, ids array<long>, n_bytes array<long>, marks array<binary>, lengths array<int>, n_words int, body binary"
 
 
 def pack(places: np.ndarray) -> bytes:
@@ -52,11 +51,11 @@ class Places(dict):
         return at
 
 
-def _runs(batches: Iterator[pa.RecordBatch], split: Split) -> Iterator[tuple[int, Places, list, list, list[np.ndarray]]]:
+def _runs(batches: Iterator[pa.RecordBatch], split: Split, mark: Callable[[str], bytes] | None = None) -> Iterator[tuple]:
     def fresh():
-        return hashlib.blake2b(digest_size=8), Places(), [], [], []
+        return hashlib.blake2b(digest_size=8), Places(), [], [], [], []
 
-    digest, places, ids, sizes, seqs = fresh()
+    digest, places, ids, sizes, marks, seqs = fresh()
     chars = 0
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -68,12 +67,13 @@ def _runs(batches: Iterator[pa.RecordBatch], split: Split) -> Iterator[tuple[int
             seqs.append(np.fromiter(map(places.__getitem__, words), np.uint32, len(words)))
             ids.append(key)
             sizes.append(len(raw))
+            marks.append(mark(text) if mark else b"")
             chars += len(text)
             if chars >= BLOCK_CHARS:
-                yield int.from_bytes(digest.digest(), "little", signed=True), places, ids, sizes, seqs
-                (digest, places, ids, sizes, seqs), chars = fresh(), 0
+                yield int.from_bytes(digest.digest(), "little", signed=True), places, ids, sizes, marks, seqs
+                (digest, places, ids, sizes, marks, seqs), chars = fresh(), 0
     if ids:
-        yield int.from_bytes(digest.digest(), "little", signed=True), places, ids, sizes, seqs
+        yield int.from_bytes(digest.digest(), "little", signed=True), places, ids, sizes, marks, seqs
 
 
 def word_blocks(docs: DataFrame, id_col: str, text_col: str, split: Split, slice_words: int = 50_000) -> DataFrame:
@@ -92,11 +92,11 @@ def exploded(words: DataFrame) -> DataFrame:
     return words.select("block", "start", F.posexplode("words").alias("p", "word")).select("block", (F.col("start") + F.col("p")).alias("place"), "word")
 
 
-def document_blocks(docs: DataFrame, id_col: str, text_col: str, split: Split, counted: bool) -> DataFrame:
-    """One row per block. counted: a text's distinct places and then their counts, instead of the places in order."""
+def document_blocks(docs: DataFrame, id_col: str, text_col: str, split: Split, counted: bool, mark: Callable[[str], bytes] | None = None) -> DataFrame:
+    """One row per block. counted: a text's distinct places and then their counts, instead of the places in order. mark: kept per text."""
 
     def run(batches):
-        for block, places, ids, sizes, seqs in _runs(batches, split):
+        for block, places, ids, sizes, marks, seqs in _runs(batches, split, mark):
             lengths = []
             for k, seq in enumerate(seqs):
                 if counted:
@@ -105,8 +105,8 @@ def document_blocks(docs: DataFrame, id_col: str, text_col: str, split: Split, c
                 lengths.append(len(seqs[k]))
             body = pack(np.concatenate(seqs)) if seqs else pack(np.zeros(0, np.uint32))
             yield pa.RecordBatch.from_pydict(
-                {"block": [block], "ids": [ids], "n_bytes": [sizes], "lengths": [lengths], "n_words": [len(places)], "body": [body]},
-                schema=pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("n_words", pa.int32()), ("body", pa.binary())]),
+                {"block": [block], "ids": [ids], "n_bytes": [sizes], "marks": [marks], "lengths": [lengths], "n_words": [len(places)], "body": [body]},
+                schema=pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("marks", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("n_words", pa.int32()), ("body", pa.binary())]),
             )
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, DOCS)
@@ -115,7 +115,7 @@ def document_blocks(docs: DataFrame, id_col: str, text_col: str, split: Split, c
 def assemble(docs: DataFrame, values: DataFrame, each: Callable, schema: str) -> DataFrame:
     """Brings the words' values (block, place, value) to the documents' blocks.
 
-    each(ids, n_bytes, list of arrays of places, values by place) gives a pandas frame for a block.
+    each(row with ids, n_bytes and marks, list of arrays of places, values by place) gives a pandas frame for a block.
     """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -128,7 +128,7 @@ def assemble(docs: DataFrame, values: DataFrame, each: Callable, schema: str) ->
             if len(by_place) != n * len(left):
                 raise ValueError("the documents came in another order than before; store them first")
             parts = np.split(unpack(row.body), np.cumsum(row.lengths)[:-1]) if len(row.lengths) else []
-            out.append(each(row.ids, row.n_bytes, parts, by_place[:: len(left)]))
+            out.append(each(row, parts, by_place[:: len(left)]))
         return pd.concat(out, ignore_index=True)
 
     return docs.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(run, schema)

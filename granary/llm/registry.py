@@ -44,9 +44,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark, read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from granary.llm.pieces import encode_documents
+
+    return encode_documents(spark, read(spark, sf_dir, "documents"), path("piece_bpe_32k.model"), digests=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_token_counts": op3_token_counts,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_chat_formatting": op6_chat_formatting,
 }
 

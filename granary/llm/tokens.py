@@ -84,12 +84,12 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str, id_col: str =
     words = scratch.table(word_blocks(docs, id_col, text_col, lambda t: splitter(path)(t)), "words")
     pieces = exploded(words).repartition("word").mapInArrow(_count_pieces(path), "block long, place int, value int")
 
-    def each(ids, sizes, parts, value):
+    def each(row, parts, value):
         def total(p: np.ndarray) -> int:
             at, n = np.split(p, 2)
             return int((value[np.cumsum(at, dtype=np.int64)].astype(np.int64) * n).sum())
 
-        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_bytes": sizes, "n_tokens": [total(p) for p in parts]})
+        return pd.DataFrame({"doc_id": pd.array(row.ids, "Int64"), "n_bytes": row.n_bytes, "n_tokens": [total(p) for p in parts]})
 
     packed = document_blocks(docs, id_col, text_col, lambda t: splitter(path)(t), counted=True)
     return assemble(packed, pieces, each, SCHEMA).withColumn("over_limit", F.col("n_tokens") > limit)
