@@ -52,11 +52,18 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(spark, read(spark, sf_dir, "documents"), path("piece_bpe_32k.model"), digests=True)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.warc import round_trip
+
+    return round_trip(spark, read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_token_counts": op3_token_counts,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_chat_formatting": op6_chat_formatting,
+    "op10_warc": op10_warc,
 }
 
 
