@@ -58,9 +58,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, read(spark, sf_dir, "pages"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.html import extract
+
+    return extract(spark, read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_token_counts": op3_token_counts,
+    "op4_html_extraction": op4_html_extraction,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_chat_formatting": op6_chat_formatting,
     "op10_warc": op10_warc,
