@@ -64,12 +64,19 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark, read(spark, sf_dir, "pages"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.neardup import near_duplicates
+
+    return near_duplicates(spark, read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_token_counts": op3_token_counts,
     "op4_html_extraction": op4_html_extraction,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op10_warc": op10_warc,
 }
 
