@@ -2,20 +2,20 @@
 
 Work that depends on a word alone (counting or listing its tokens) is done once per distinct word of the
 corpus. What connects words and documents are blocks: a run of documents of one input partition, up to
-BLOCK_CHARS characters. A block's dictionary lists its distinct words in order of first appearance; its
-documents are one row of packed places in that dictionary. So the shuffles carry a row for each distinct
-word of a block and a few bytes for each word of a text, never a row for each word of a text, and a word
-that every document has costs one row per block.
-
-`word_blocks` and `document_blocks` read the documents separately, which is cheaper than storing the packed
-texts. Both name a block by a digest of its content, so should the input not come in the same order twice
-(an unstored DataFrame behind a shuffle), `assemble` raises instead of mixing up words.
+BLOCK_CHARS characters. A block's dictionary lists its distinct words, frequent ones first; its documents are one
+row of packed places in that dictionary. Dictionaries are cut into buckets by a hash of the word, and a bucket's
+words from all blocks meet in one task. So the shuffles carry each distinct word of a block once, and a word that
+every document has costs one entry per block.
+
+The texts are read once. Blocks are stored bucketed by name, so that the words' values come back to them without
+a shuffle of the packed texts. A block is named by a digest of its content; blocks of equal content have equal words.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -24,23 +24,38 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import Scratch
+
 #: Characters after which a block ends; bounds a task's memory.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 16_000_000
+
+#: Characters of the corpus for each bucket of words; bounds the words that meet in one task.
+BUCKET_CHARS = 8_000_000
 
 Split = Callable[[str], list[str]]
 
-DOCS = "block long, ids array<long>, n_bytes array<long>, marks array<binary>, lengths array<int>, n_words int, body binary"
 
 
-def pack(places: np.ndarray) -> bytes:
-    """Whole numbers below 2^32, byte plane by byte plane, compressed."""
-    planes = np.ascontiguousarray(places, dtype="<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+def _squeeze(data: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data.tobytes())
 
 
-def unpack(body: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+def pack(numbers: np.ndarray) -> list[bytes]:
+    """Whole numbers below 2^29, most of them small: one byte each, the rest of the larger ones by byte plane."""
+    large = numbers >= 192
+    low = np.where(large, 192 + ((numbers - 192) & 31), numbers).astype(np.uint8)
+    high = ((numbers[large] - 192) >> 5).astype("<u4")
+    planes = np.ascontiguousarray(high).view(np.uint8).reshape(-1, 4).T
+    return [_squeeze(low), _squeeze(np.ascontiguousarray(planes))]
+
+
+def unpack(body: list[bytes]) -> np.ndarray:
+    low, planes = (np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8) for b in body)
+    out = low.astype(np.int64)
+    large = out >= 192
+    high = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    out[large] += high << 5
+    return out
 
 
 class Places(dict):
@@ -57,8 +72,8 @@ def _runs(batches: Iterator[pa.RecordBatch], split: Split, mark: Callable[[str],
 
     digest, places, ids, sizes, marks, seqs = fresh()
     chars = 0
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+    for part in (batch.slice(k, 256) for batch in batches for k in range(0, batch.num_rows, 256)):
+        for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
             text = text or ""
             raw = text.encode()
             digest.update(repr((key, len(raw))).encode())
@@ -70,65 +85,107 @@ def _runs(batches: Iterator[pa.RecordBatch], split: Split, mark: Callable[[str],
             marks.append(mark(text) if mark else b"")
             chars += len(text)
             if chars >= BLOCK_CHARS:
-                yield int.from_bytes(digest.digest(), "little", signed=True), places, ids, sizes, marks, seqs
+                yield _ranked(digest, places, seqs) + (ids, sizes, marks)
                 (digest, places, ids, sizes, marks, seqs), chars = fresh(), 0
     if ids:
-        yield int.from_bytes(digest.digest(), "little", signed=True), places, ids, sizes, marks, seqs
+        yield _ranked(digest, places, seqs) + (ids, sizes, marks)
 
 
-def word_blocks(docs: DataFrame, id_col: str, text_col: str, split: Split, slice_words: int = 50_000) -> DataFrame:
-    """(block, place, word): the dictionaries."""
+def _ranked(digest, places: Places, seqs: list[np.ndarray]) -> tuple[int, list[str], list[np.ndarray]]:
+    """Name of the block, its words with the frequent ones first (ties: first appearance), its texts as places in them."""
+    counts = np.bincount(np.concatenate(seqs), minlength=len(places))
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    words = list(places)
+    return int.from_bytes(digest.digest(), "little", signed=True), [words[k] for k in order.tolist()], [rank[s] for s in seqs]
 
-    def run(batches):
-        for block, places, *_ in _runs(batches, split):
-            words = list(places)
-            for k in range(0, len(words), slice_words):
-                yield pa.RecordBatch.from_pydict({"block": [block], "start": [k], "words": [words[k : k + slice_words]]}, schema=pa.schema([("block", pa.int64()), ("start", pa.int32()), ("words", pa.list_(pa.string()))]))
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "block long, start int, words array<string>")
+def bucket_count(docs: DataFrame, text_col: str) -> int:
+    """Buckets for the words of docs, in proportion to their characters."""
+    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
+    return 1 + chars // BUCKET_CHARS
 
 
-def exploded(words: DataFrame) -> DataFrame:
-    return words.select("block", "start", F.posexplode("words").alias("p", "word")).select("block", (F.col("start") + F.col("p")).alias("place"), "word")
+def _buckets(words: list[str], n: int) -> np.ndarray:
+    return np.fromiter((crc32(w.encode()) for w in words), np.int64, len(words)) % n
 
 
-def document_blocks(docs: DataFrame, id_col: str, text_col: str, split: Split, counted: bool, mark: Callable[[str], bytes] | None = None) -> DataFrame:
-    """One row per block. counted: a text's distinct places and then their counts, instead of the places in order. mark: kept per text."""
+STORED = pa.schema(
+    [("block", pa.int64()), ("bucket", pa.int64()), ("words", pa.list_(pa.string()))]
+    + [("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("marks", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("buckets", pa.list_(pa.binary())), ("body", pa.list_(pa.binary()))]
+)
+STORED_SQL = "block long, bucket long, words array<string>, ids array<long>, n_bytes array<long>, marks array<binary>, lengths array<int>, buckets array<binary>, body array<binary>"
+
+
+def store(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, split: Split, counted: bool, mark: Callable[[str], bytes] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Stores the blocks of docs. Gives a row per block with its documents, and a row per block and bucket with its words, dealt by bucket.
+
+    A document is its words' places in order; or, if counted, its distinct places as differences and then their counts.
+    mark: kept per text.
+    """
+    n_buckets = bucket_count(docs, text_col)
+
+    def batch(**columns) -> pa.RecordBatch:
+        n = len(columns["block"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in STORED], schema=STORED)
 
     def run(batches):
-        for block, places, ids, sizes, marks, seqs in _runs(batches, split, mark):
-            lengths = []
-            for k, seq in enumerate(seqs):
-                if counted:
-                    at, n = np.unique(seq, return_counts=True)
-                    seqs[k] = np.concatenate([np.diff(at, prepend=0).astype(np.uint32), n.astype(np.uint32)])
-                lengths.append(len(seqs[k]))
-            body = pack(np.concatenate(seqs)) if seqs else pack(np.zeros(0, np.uint32))
-            yield pa.RecordBatch.from_pydict(
-                {"block": [block], "ids": [ids], "n_bytes": [sizes], "marks": [marks], "lengths": [lengths], "n_words": [len(places)], "body": [body]},
-                schema=pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("marks", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("n_words", pa.int32()), ("body", pa.binary())]),
-            )
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, DOCS)
-
-
-def assemble(docs: DataFrame, values: DataFrame, each: Callable, schema: str) -> DataFrame:
-    """Brings the words' values (block, place, value) to the documents' blocks.
-
-    each(row with ids, n_bytes and marks, list of arrays of places, values by place) gives a pandas frame for a block.
+        for block, words, seqs, ids, sizes, marks in _runs(batches, split, mark):
+            bucket = _buckets(words, n_buckets)
+            order = np.argsort(bucket, kind="stable")
+            found, first = np.unique(bucket[order], return_index=True)
+            flat, offsets = pa.array(words, pa.string()).take(pa.array(order)), pa.array([*first, len(order)], pa.int32())
+            yield batch(block=np.full(len(found), block), bucket=found, words=pa.ListArray.from_arrays(offsets, flat))
+            if counted:
+                seqs = [np.concatenate([np.diff(at.astype(np.int64), prepend=0), n]) for at, n in (np.unique(s, return_counts=True) for s in seqs)]
+            yield batch(block=[block], ids=[ids], n_bytes=[sizes], marks=[marks], lengths=[[len(s) for s in seqs]], buckets=[pack(bucket)], body=[pack(np.concatenate(seqs))])
+
+    blocks = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, STORED_SQL)
+    stored = scratch.bucketed(blocks, "blocks", "block", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Words are read without the buckets: plans that use them twice then share their exchange.
+    plain = docs.sparkSession.read.schema(STORED_SQL).parquet(scratch.paths["blocks"])
+    words = plain.where("bucket IS NOT NULL").select("bucket", "block", "words").repartition("bucket")
+    return stored.where("bucket IS NULL").drop("bucket", "words"), words
+
+
+class Values:
+    """What each word of a block stands for: runs of numbers, kept end to end."""
+
+    def __init__(self, sizes: np.ndarray, flat: np.ndarray):
+        self.sizes, self.flat, self.starts = sizes, flat, np.cumsum(sizes) - sizes
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        """The runs of a sequence of words, end to end."""
+        n = self.sizes[places]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[places] - (ends - n), n)
+        return self.flat[at]
+
+
+def assemble(blocks: DataFrame, values: DataFrame, unpack_values: Callable, each: Callable, schema: str) -> DataFrame:
+    """Brings the words' values to the documents' blocks.
+
+    values: (bucket, block, body), where unpack_values(body) gives (sizes, flat): for each of the words that the
+    bucket has of the block how many numbers it stands for, and these. each(row with ids, n_bytes and marks, list of
+    arrays of places, Values by place) gives a pandas frame for a block.
     """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            raise ValueError("the documents came in another order than before; store them first")
+        # Blocks of equal content share their name and so have the same words.
+        found = {row.bucket: unpack_values(row.body) for row in right.itertuples(index=False)}
         out = []
-        by_place = right["value"].to_numpy()[np.argsort(right["place"].to_numpy(), kind="stable")]
-        for row in left.itertuples(index=False):  # copies of a whole block share its name
-            n = row.n_words
-            if len(by_place) != n * len(left):
-                raise ValueError("the documents came in another order than before; store them first")
-            parts = np.split(unpack(row.body), np.cumsum(row.lengths)[:-1]) if len(row.lengths) else []
-            out.append(each(row, parts, by_place[:: len(left)]))
+        for row in left.itertuples(index=False):
+            bucket = unpack(row.buckets)
+            order = np.argsort(bucket, kind="stable")
+            parts = [found[b] for b in np.unique(bucket).tolist()]
+            none = np.zeros(0, np.int64)
+            sizes, flat = (np.concatenate([p[k] for p in parts] or [none]) for k in range(2))
+            by_bucket = Values(sizes, flat)
+            value = Values(np.zeros(len(order), np.int64), flat)
+            value.sizes[order], value.starts[order] = by_bucket.sizes, by_bucket.starts
+            places = np.split(unpack(row.body), np.cumsum(row.lengths)[:-1]) if len(row.lengths) else []
+            out.append(each(row, places, value))
         return pd.concat(out, ignore_index=True)
 
-    return docs.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(run, schema)
+    return blocks.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(run, schema)

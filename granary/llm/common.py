@@ -61,6 +61,16 @@ class Scratch:
         self.paths[name] = path
         return out
 
+    def bucketed(self, df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+        """table() in buckets of a column, so that a later grouping by it needs no shuffle of these rows."""
+        path, entry = self.path(f"{name}-{len(self.paths)}"), f"granary_{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(entry, format="parquet")
+        out = self.spark.table(entry)
+        out.schema  # noqa: B018  resolved now: the catalog need not keep the name
+        self.spark.sql(f"DROP TABLE {entry}")
+        self.paths[name] = path
+        return out
+
     def drop(self, *names: str) -> None:
         for name in names:
             if path := self.paths.pop(name, None):

@@ -26,12 +26,11 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import regex
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.blocks import assemble, document_blocks, exploded, word_blocks
+from granary.llm.blocks import assemble, pack, store, unpack
 from granary.llm.common import Scratch, let
 
 META = "▁"
@@ -77,32 +76,24 @@ def neighbours(model: Model) -> frozenset[str]:
     return frozenset(p[k : k + 2] for p, *_ in model.pieces for k in range(len(p) - 1))
 
 
-class _Cuts(dict):
-    """Coarse word to its words: cut where no piece can lie across."""
-
-    def __init__(self, pairs: frozenset[str]):
-        super().__init__()
-        self.pairs = pairs
-
-    def __missing__(self, word: str) -> list[str]:
-        at = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.pairs]
-        found = [word[a:b] for a, b in zip([0, *at], [*at, len(word)], strict=True)]
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = found
-        return found
-
-
 def splitter(model: Model):
-    """Text to words; their concatenation is the normalized text."""
+    """Text to words, whose concatenation is the normalized text: cut where no piece can lie across."""
     pairs = neighbours(model)
-    coarse = regex.compile(f"{META}+[^{META}]*|[^{META}]+").findall if not any(p[1] == META != p[0] for p in pairs) else lambda t: [t]
-    cuts = _Cuts(pairs)
+    chars = sorted({c for p in pairs for c in p})
+    kind = np.zeros(0x110000, np.uint16)
+    kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+    joined = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+    for p in pairs:
+        joined[kind[ord(p[0])], kind[ord(p[1])]] = True
 
     def split(text: str) -> list[str]:
         if not text:
             return []
-        return [w for c in coarse(META + text.replace(" ", META)) for w in cuts[c]]
+        text = META + text.replace(" ", META)
+        kinds = kind[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        ends = (np.flatnonzero(~joined[kinds[:-1], kinds[1:]]) + 1).tolist()
+        ends.append(len(text))
+        return [text[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
 
     return split
 
@@ -144,57 +135,81 @@ def merge(word: str, ranks: dict[str, tuple[int, int]]) -> list[str]:
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """(word, edges): an entry (start * 64 + length) -> (rank or score, id) for each substring that is a piece."""
-    spark = words.sparkSession
-    table = spark.createDataFrame([(p, i, float(r)) for p, i, r in model.pieces], "piece string, id int, rank double")
-    n = F.length("word")
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), n),
-            lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - i + 1)), lambda k: F.struct((i * 64 + k).alias("at"), F.substring(F.col("word"), i, k).alias("piece"))),
-        )
-    )
-    edges = words.select("word", F.explode(spans).alias("s")).select("word", "s.at", "s.piece")
+    """words has bucket and word. Adds edges: for each substring that is a piece, start * 64 + length -> rank * 2^25 + id, and an entry for 0."""
+    table = words.sparkSession.createDataFrame([(p, (int(r) << 25) | i) for p, i, r in model.pieces] + [("", 0)], "piece string, value long")
+    # Start 0 stands for the empty substring, so that words without a piece stay in.
+    starts = words.select("bucket", "word", F.explode(F.sequence(F.lit(0), F.length("word"))).alias("i"))
+    tails = starts.select("bucket", "word", "i", F.when(F.col("i") == 0, F.lit("")).otherwise(F.substring("word", F.col("i"), F.lit(model.longest))).alias("tail"))
+    spans = tails.select("bucket", "word", "i", "tail", F.explode(F.sequence(F.least(F.lit(1), F.length("tail")), F.length("tail"))).alias("k"))
+    spans = spans.select("bucket", "word", (F.col("i") * 64 + F.col("k")).cast("long").alias("at"), F.substring("tail", F.lit(1), F.col("k")).alias("piece"))
     # The piece table is a fixed vocabulary, the same at any size of the corpus.
-    return edges.join(F.broadcast(table), "piece").groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("rank", "id")))).alias("edges"))
+    edges = spans.join(F.broadcast(table), "piece").groupBy("bucket", "word").agg(F.collect_list(F.shiftleft("at", 50).bitwiseOR(F.col("value"))).alias("e"))
+    split = F.map_from_arrays(F.transform("e", lambda x: F.shiftright(x, 50).cast("int")), F.transform("e", lambda x: x.bitwiseAND(F.lit((1 << 50) - 1))))
+    return edges.select("bucket", "word", split.alias("edges"))
 
 
-def bpe_fold(word: Column, edges: Column) -> Column:
-    """Starts of the symbols of a word, with its length + 1 at the end."""
-    bounds = F.sequence(F.lit(1), F.length(word) + 1)
+def _rank(value: Column) -> Column:
+    return F.shiftright(value, 25)
 
-    def step(b: Column, _: Column) -> Column:
-        offers = F.transform(
-            F.sequence(F.lit(0), F.size(b) - 3),
-            lambda i: F.struct(F.coalesce(F.try_element_at(edges, F.get(b, i) * 64 + F.get(b, i + 2) - F.get(b, i))["rank"], F.lit(float(BIG))).alias("rank"), i.alias("i")),
+
+def _id(value: Column) -> Column:
+    return value.bitwiseAND(F.lit((1 << 25) - 1)).cast("int")
+
+
+def bpe_fold(word: Column, edges: Column) -> Column:
+    """Starts of the symbols of a word, with its length + 1 at the end.
+
+    The state has these starts and, for each pair of neighbours, the rank of its union. A step merges the leftmost
+    pair of the lowest rank and looks up the two pairs that change.
+    """
+    none = F.lit(BIG).cast("long")
+    rank = lambda start, end: F.coalesce(_rank(F.try_element_at(edges, start * 63 + end)), none)
+    pair = lambda b, o: F.struct(b.alias("b"), o.alias("o"))
+    first = F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda i: rank(i, i + 2))
+    empty = F.array().cast("array<bigint>")
+    start = pair(F.sequence(F.lit(1), F.length(word) + 1), F.when(F.length(word) > 1, first).otherwise(empty))
+
+    def merged(s: Column, j: Column) -> Column:
+        b, o = s["b"], s["o"]
+        before = F.when(j > 0, F.array(rank(F.get(b, j - 1), F.get(b, j + 2)))).otherwise(empty)
+        after = F.when(j + 3 < F.size(b), F.array(rank(F.get(b, j), F.get(b, j + 3)))).otherwise(empty)
+        return pair(
+            F.concat(F.slice(b, F.lit(1), j + 1), F.slice(b, j + 3, F.size(b))),
+            F.concat(F.slice(o, F.lit(1), F.greatest(j - 1, F.lit(0))), before, after, F.slice(o, j + 3, F.size(b))),
         )
-        return F.when(F.size(b) > 2, let(F.array_min(offers), lambda m: F.when(m["rank"] < BIG, F.filter(b, lambda _, k: k != m["i"] + 1)).otherwise(b))).otherwise(b)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), bounds, step)
+    def step(s: Column, _: Column) -> Column:
+        def with_least(m: Column) -> Column:
+            return F.when(m < none, let(F.array_position(s["o"], m).cast("int") - 1, lambda j: merged(s, j))).otherwise(s)
+
+        return let(F.coalesce(F.array_min(s["o"]), none), with_least)
 
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), start, step, lambda s: s["b"])
 
-def viterbi_fold(word: Column, edges: Column, longest: int, unknown: float) -> Column:
-    """Starts of the best path's symbols, with its length + 1 at the end; scores add up, unknown for a character without an edge."""
+
+def viterbi_fold(word: Column, edges: Column, scores: Column, longest: int, unknown: float) -> Column:
+    """Starts of the best path's symbols, with its length + 1 at the end.
+
+    scores: by id, added up along a path; unknown is what a character without an edge costs. Ties go to the longer last symbol.
+    """
     n = F.length(word)
     first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back")))
 
     def step(best: Column, end: Column) -> Column:
         def arc(k: Column) -> Column:
             start = end - k + 1
-            score = F.coalesce(F.try_element_at(edges, start * 64 + k)["rank"], F.when(k == 1, F.lit(unknown)))
-            return F.struct((F.get(best, start - 1)["score"] + score).alias("score"), start.alias("back"))
+            found = F.try_element_at(edges, start * 64 + k)
+            score = F.coalesce(F.get(scores, _id(found)), F.when(k == 1, F.lit(unknown)))
+            return F.struct((F.get(best, start - 1)["score"] + score).alias("score"), (-start).alias("back"))
 
         arcs = F.filter(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), end)), arc), lambda a: a["score"].isNotNull())
-        return F.concat(best, F.array(F.array_max(arcs)))
-
-    best = F.aggregate(F.sequence(F.lit(1), n), first, step)
+        return let(F.array_max(arcs), lambda a: F.concat(best, F.array(F.struct(a["score"].alias("score"), (-a["back"]).alias("back")))))
 
     def walk(table: Column) -> Column:
-        start = F.array(n + 1)
-        back = F.aggregate(F.sequence(F.lit(1), n), start, lambda s, _: F.when(s[0] > 1, F.concat(F.array(F.get(table, s[0] - 1)["back"]), s)).otherwise(s))
-        return back
+        back = lambda s, _: F.when(s[0] > 1, F.concat(F.array(F.get(table, s[0] - 1)["back"]), s)).otherwise(s)
+        return F.aggregate(F.sequence(F.lit(1), n), F.array(n + 1), back)
 
-    return let(best, walk)
+    return let(F.aggregate(F.sequence(F.lit(1), n), first, step), walk)
 
 
 def symbols_to_ids(word: Column, starts: Column, edges: Column, model: Model) -> Column:
@@ -202,7 +217,7 @@ def symbols_to_ids(word: Column, starts: Column, edges: Column, model: Model) ->
     byte_ids = F.array(*[F.lit(b) for b in model.byte_ids]) if model.byte_ids else None
 
     def ids_of(start: Column, end: Column) -> Column:
-        found = F.try_element_at(edges, start * 64 + end - start)["id"]
+        found = _id(F.try_element_at(edges, start * 63 + end))
         if byte_ids is None:
             return F.array(F.coalesce(found, F.lit(model.unknown)))
         hexed = F.hex(F.encode(F.substring(word, start, F.lit(1)), "UTF-8"))
@@ -216,33 +231,47 @@ def _packed(ids: Column, width: int) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda x: F.lpad(F.hex(x), 2 * width, "0")), ""))
 
 
-def _long_words(model: Model, width: int):
-    def run(batches):
-        ranks = {p: (int(r), i) for p, i, r in model.pieces}
-        for batch in batches:
-            words = batch.column("word").to_pylist()
-            out = []
-            for word in words:
-                ids = []
-                for s in merge(word, ranks):
-                    found = ranks.get(s)
-                    ids += [found[1]] if found else [model.byte_ids[b] for b in s.encode()] if model.byte_ids else [model.unknown]
-                out.append(np.array(ids, f">u{width}").tobytes())
-            yield pa.RecordBatch.from_pydict({"word": words, "value": out}, schema=pa.schema([("word", pa.string()), ("value", pa.binary())]))
+def encode_words(words: DataFrame, model: Model) -> DataFrame:
+    """words has bucket and word, distinct and at most LONG characters each. (bucket, word, value): the ids as big-endian numbers of width(model) bytes."""
+    folded = lattice(words, model)
+    starts = bpe_fold(F.col("word"), F.col("edges"))
+    ids = let(starts, lambda s: symbols_to_ids(F.col("word"), s, F.col("edges"), model))
+    return folded.select("bucket", "word", _packed(ids, width(model)).alias("value"))
+
+
+def encode_long(word: str, model: Model, ranks: dict[str, tuple[int, int]]) -> bytes:
+    ids = []
+    for s in merge(word, ranks):
+        found = ranks.get(s)
+        ids += [found[1]] if found else [model.byte_ids[b] for b in s.encode()] if model.byte_ids else [model.unknown]
+    return np.array(ids, f">u{width(model)}").tobytes()
+
+
+def _answer(path: str):
+    """Per bucket: the ids of each block's words, packed as their numbers of ids and the ids."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        model, known = load(path), dict(zip(right["word"], right["value"], strict=True))
+        ranks = {}
+        bodies = []
+        for words in left["words"]:
+            for w in words:
+                if len(w) > LONG and w not in known:
+                    ranks = ranks or {p: (int(r), i) for p, i, r in model.pieces}
+                    known[w] = encode_long(w, model, ranks)
+            values = [known[w] for w in words]
+            sizes = np.fromiter(map(len, values), np.int64, len(values)) // width(model)
+            bodies.append([*pack(sizes), zstandard.compress(b"".join(values))])
+        return pd.DataFrame({"bucket": left["bucket"], "block": left["block"], "body": bodies})
 
     return run
 
 
-def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """(word, value): the ids of distinct non-empty words as big-endian numbers of width(model) bytes."""
-    w = width(model)
-    short, long = words.where(F.length("word") <= LONG), words.where(F.length("word") > LONG)
-    none = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<struct<rank:double,id:int>>"))
-    folded = short.join(lattice(short, model), "word", "left").select("word", F.coalesce("edges", none).alias("edges"))
-    starts = bpe_fold(F.col("word"), F.col("edges"))
-    ids = let(starts, lambda s: symbols_to_ids(F.col("word"), s, F.col("edges"), model))
-    matched = folded.select("word", _packed(ids, w).alias("value"))
-    return matched.unionByName(long.mapInArrow(_long_words(model, w), "word string, value binary"))
+def _values(w: int):
+    def run(body: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return unpack(body[:2]), np.frombuffer(zstandard.decompress(body[2]), f">u{w}").astype(np.int32)
+
+    return run
 
 
 def width(model: Model) -> int:
@@ -278,27 +307,29 @@ def decode_column(path: str):
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """Per row of docs: doc_id, n_tokens, ids; or with digests: doc_id, n_tokens, ids_sha256 (of the ids as 32-bit little-endian), round_trip (the decoded ids give the text). docs must be a stored table."""
+    """Per row of docs: doc_id, n_tokens, ids; or with digests: doc_id, n_tokens, ids_sha256 (of the ids as 32-bit little-endian), round_trip (the decoded ids give the text)."""
     model, scratch = load(path), Scratch(spark)
     split, w = _splitter_of(path), width(model)
-    # Written once and dealt by word once: both the distinct words and the way back to the blocks read it.
-    words = exploded(scratch.table(word_blocks(docs, id_col, text_col, split), "words")).repartition("word")
-    encoded = encode_words(words.select("word").distinct(), model)
-    values = words.join(encoded, "word").select("block", "place", "value")
+    blocks, words = store(scratch, docs, id_col, text_col, split, counted=False, mark=mark_of if digests else None)
+    # Dealt by bucket once: the distinct words and the way back to the blocks both read that. The block goes along with
+    # each word so that both ask for the same columns and Spark reuses the exchange.
+    each_word = F.explode(F.transform("words", lambda w: F.struct(w.alias("word"), F.col("block"))))
+    distinct = words.select(F.col("bucket").alias("bucket"), each_word.alias("w")).select("bucket", "w.word").where(F.length("word") <= LONG).groupBy("bucket", "word").agg(F.lit(1).alias("one"))
+    encoded = encode_words(distinct.select("bucket", "word"), model)
+    values = words.groupBy("bucket").cogroup(encoded.groupBy("bucket")).applyInPandas(_answer(path), "bucket long, block long, body array<binary>")
     shape = "doc_id long, n_tokens long, " + ("ids_sha256 string, round_trip boolean" if digests else "ids array<int>")
 
     def each(row, parts, value):
-        ids = [np.frombuffer(b"".join(value[part]), f">u{w}") for part in parts]
+        ids = [value.of(part) for part in parts]
         out = {"doc_id": pd.array(row.ids, "Int64"), "n_tokens": [len(x) for x in ids]}
         if digests:
             out["ids_sha256"] = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
             out["round_trip"] = [mark_of(decode(x, path)) == m for x, m in zip(ids, row.marks, strict=True)]
         else:
-            out["ids"] = [x.astype(np.int32) for x in ids]
+            out["ids"] = ids
         return pd.DataFrame(out)
 
-    packed = document_blocks(docs, id_col, text_col, split, counted=False, mark=mark_of if digests else None)
-    return assemble(packed, values, each, shape)
+    return assemble(blocks, values, _values(w), each, shape)
 
 
 def mark_of(text: str) -> bytes:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.blocks import assemble, document_blocks, exploded, word_blocks
+from granary.llm.blocks import assemble, pack, store, unpack
 from granary.llm.common import Scratch
 
 #: Fixed value: the public pre-token pattern of byte-level BPE.
@@ -66,30 +66,34 @@ def _count_pieces(path: str):
     def run(batches):
         tokenizer, known = load(path), {}
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            new = list({w for w in words if w not in known})
+            rows = batch.column("words").to_pylist()
+            new = list({w for ws in rows for w in ws if w not in known})
             for k in range(0, len(new), 5000):
                 part = new[k : k + 5000]
                 known.update(zip(part, (len(e) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("place"), pa.array([known[w] for w in words], pa.int32())], names=["block", "place", "value"]
+            yield pa.RecordBatch.from_pydict(
+                {"bucket": batch.column("bucket"), "block": batch.column("block"), "body": [pack(np.array([known[w] for w in ws], np.int64)) for ws in rows]},
+                schema=pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("body", pa.list_(pa.binary()))]),
             )
 
     return run
 
 
+def _counts(body: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    counts = unpack(body)
+    return np.ones(len(counts), np.int64), counts
+
+
 def token_counts(spark: SparkSession, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
-    """Per row of docs: doc_id, n_bytes, n_tokens, over_limit. docs must be a stored table."""
-    scratch = Scratch(spark)
-    words = scratch.table(word_blocks(docs, id_col, text_col, lambda t: splitter(path)(t)), "words")
-    pieces = exploded(words).repartition("word").mapInArrow(_count_pieces(path), "block long, place int, value int")
+    """Per row of docs: doc_id, n_bytes, n_tokens, over_limit."""
+    blocks, words = store(Scratch(spark), docs, id_col, text_col, lambda t: splitter(path)(t), counted=True)
+    pieces = words.mapInArrow(_count_pieces(path), "bucket long, block long, body array<binary>")
 
     def each(row, parts, value):
         def total(p: np.ndarray) -> int:
             at, n = np.split(p, 2)
-            return int((value[np.cumsum(at, dtype=np.int64)].astype(np.int64) * n).sum())
+            return int((value.flat[value.starts[np.cumsum(at)]] * n).sum())
 
         return pd.DataFrame({"doc_id": pd.array(row.ids, "Int64"), "n_bytes": row.n_bytes, "n_tokens": [total(p) for p in parts]})
 
-    packed = document_blocks(docs, id_col, text_col, lambda t: splitter(path)(t), counted=True)
-    return assemble(packed, pieces, each, SCHEMA).withColumn("over_limit", F.col("n_tokens") > limit)
+    return assemble(blocks, pieces, _counts, each, SCHEMA).withColumn("over_limit", F.col("n_tokens") > limit)
