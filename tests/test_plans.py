@@ -24,7 +24,8 @@ def test_reranking_runs_above_the_limit(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     hits = docs.orderBy(F.desc("n_chars"), "doc_id").limit(5).select("doc_id", "text")
     text = plan(hits.select("doc_id", models.rerank_score(F.col("text"), "the").alias("s")))
-    limit = min(text.index(x) for x in ("TakeOrderedAndProject", "GlobalLimit") if x in text)
+    # Spark may score the k best of each task instead of the k best of all, never more.
+    limit = min(text.index(x) for x in ("TakeOrderedAndProject", "GlobalLimit", "LocalLimit") if x in text)
     assert text.index("ArrowEvalPython") < limit
 
 
