@@ -13,8 +13,8 @@ link is confirmed on the full sets. The steps:
    spread over tasks; the rows at partition borders are compared in a second small pass.
 4. Crowded regions are mostly edited copies of one text, which are closer to that text than to each other. The
    text's own label is the commonest one of the region in every order. So each member is also a candidate with
-   the region's HUBS rows that are most often among the commonest labels: pairs grow with the region, not with
-   its square.
+   the row that is most often among the commonest labels of its regions, and a member that turns out not to be
+   linked with it is one with the next HUBS - 1 such rows: pairs grow with the region, not with its square.
 5. Candidates whose set sizes allow a link are confirmed on full texts in three rounds: first the pairs with the
    first hub and each document's smallest neighbour, then the smallest neighbour in another component, then
    whatever pairs still lie across components. Pairs inside a component need no test, as they change nothing.
@@ -41,8 +41,8 @@ HASHES = 96
 ORDERS = 24
 FLOOR = 3
 LEVELS = 12
-NEAR, DENSE, CROWD = 8, 2, 16
-HUBS = 8
+NEAR, DENSE, CROWD = 8, 1, 16
+HUBS = 4
 BUCKETS = 64
 SMALL = 2_000_000
 
@@ -225,20 +225,38 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_confirm, "a long, b long").distinct()
 
 
-def _hub_pairs(crowd: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b, place): crowded rows with the HUBS most central rows of their region, place 1 the most central."""
-    rows = crowd.select(F.substring("label", 1, PREFIX).alias("region"), "label", F.col("a").alias("node"), "n")
-    runs = rows.groupBy("region", "label").agg(F.count("*").alias("c"))
+def _hubs(crowd: DataFrame, scratch: Scratch) -> DataFrame:
+    """(region, place, hub): the HUBS most central rows of each crowded region, place 0 the most central."""
+    runs = crowd.groupBy("region", "label").agg(F.count("*").alias("c"))
     top = runs.groupBy("region").agg(F.max_by("label", F.struct("c", "label")).alias("label"))
-    central = scratch.table(rows.join(broadcast_if_small(top, SMALL), ["region", "label"]).select("region", "node"), "central")
+    central = scratch.table(crowd.join(broadcast_if_small(top, SMALL), ["region", "label"]).select("region", "node"), "central")
     score = central.groupBy("node").agg(F.count("*").alias("score"))
     # The best of each of BUCKETS parts of a region, then the HUBS best of these: no region is gathered as a whole.
     rank = F.struct((-F.col("score")).alias("s"), "node")
     parts = central.join(broadcast_if_small(score, SMALL), "node").groupBy("region", F.pmod(F.xxhash64("node"), F.lit(BUCKETS)).alias("part")).agg(F.min(rank).alias("r"))
     ranked = parts.groupBy("region").agg(F.slice(F.sort_array(F.collect_list("r")), 1, HUBS).alias("hubs"))
-    hubs = ranked.select("region", F.posexplode("hubs").alias("place", "hub")).select("region", "place", F.col("hub.node").alias("hub"))
-    pairs = rows.join(broadcast_if_small(hubs, SMALL), "region").where("node != hub")
-    return pairs.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.min("place").alias("place"))
+    return ranked.select("region", F.posexplode("hubs").alias("place", "hub")).select("region", "place", F.col("hub.node").alias("hub"))
+
+
+def _ordered(node: str, hub: str) -> list:
+    return [F.least(node, hub).alias("a"), F.greatest(node, hub).alias("b")]
+
+
+def _hub_pairs(crowd: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(a, b): crowded rows with the most central row of their region."""
+    first = hubs.where("place = 0").select("region", "hub")
+    return crowd.select("region", "node").join(broadcast_if_small(first, SMALL), "region").where("node != hub").select(*_ordered("node", "hub")).distinct()
+
+
+def _rest_pairs(crowd: DataFrame, hubs: DataFrame, comp: DataFrame) -> DataFrame:
+    """(a, b): crowded rows that are not linked with their region's most central row, with its further central rows."""
+    of = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+    told = hubs.join(of("hub"), "hub", "left").select("region", "place", "hub", F.coalesce("c_hub", "hub").alias("c_hub"))
+    first = told.where("place = 0").select("region", F.col("c_hub").alias("main"))
+    rows = crowd.select("region", "node").join(of("node"), "node", "left").select("region", "node", F.coalesce("c_node", "node").alias("c_node"))
+    rest = rows.join(broadcast_if_small(first, SMALL), "region").where("c_node != main")
+    further = told.where("place > 0").select("region", "hub", "c_hub")
+    return rest.join(broadcast_if_small(further, SMALL), "region").where("c_node != c_hub").select(*_ordered("node", "hub")).distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,9 +272,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     found = scratch.table(ordered.mapInArrow(_neighbours(True), "kind string, a long, b long, label binary, n long"), "found")
     border = found.where("kind = 'border'").select("label", F.col("a").alias("node"), "n").distinct().coalesce(1).sortWithinPartitions("label", "node")
     across = border.mapInArrow(_neighbours(False), "kind string, a long, b long, label binary, n long")
-    near = found.where("kind = 'pair'").select("a", "b").union(across.where("kind = 'pair'").select("a", "b")).where("a != b").distinct().withColumn("place", F.lit(99))
-    hubs = _hub_pairs(found.where("kind = 'crowd'"), scratch)
-    pairs = scratch.table(near.union(hubs.select("a", "b", "place")).groupBy("a", "b").agg(F.min("place").alias("place")), "pairs")
+    near = found.where("kind = 'pair'").select("a", "b").union(across.where("kind = 'pair'").select("a", "b")).where("a != b").distinct().withColumn("place", F.lit(1))
+    crowd = scratch.table(found.where("kind = 'crowd'").select(F.substring("label", 1, PREFIX).alias("region"), "label", F.col("a").alias("node")), "crowd")
+    hubs = scratch.table(_hubs(crowd, scratch), "hubs")
+    pairs = scratch.table(near.union(_hub_pairs(crowd, hubs).withColumn("place", F.lit(0))).groupBy("a", "b").agg(F.min("place").alias("place")), "pairs")
     scratch.drop("found", "central")
 
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
@@ -265,6 +284,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     links, comp, left = None, None, pairs
     for turn in range(3):
+        if turn == 1:
+            left = left.union(_rest_pairs(crowd, hubs, comp).join(broadcast_if_small(picked, SMALL), ["a", "b"], "left_anti").withColumn("place", F.lit(2))).groupBy("a", "b").agg(F.min("place").alias("place"))
         if turn:
             own = F.broadcast(comp) if is_small(comp, SMALL) else comp
             of = lambda end: own.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))  # noqa: B023, E731
@@ -280,8 +301,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
             picked = left.select("a", "b")
         picked = scratch.table(picked, f"picked-{turn}")
         left = left.join(broadcast_if_small(picked, SMALL), ["a", "b"], "left_anti").select("a", "b", "place") if turn < 2 else None
-        part = texts
-        new = scratch.table(confirm(picked, part), f"links-{turn}")
+        new = scratch.table(confirm(picked, texts), f"links-{turn}")
         links = new if links is None else links.union(new)
         comp = scratch.table(components(links, scratch, f"cc{turn}"), f"comp-{turn}")
 
@@ -290,5 +310,5 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     out = signed.select("doc_id", "n", "digest").join(broadcast_if_small(moved, SMALL), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
-    scratch.drop("nodes", "texts", "pairs", "classes")
+    scratch.drop("nodes", "texts", "pairs", "classes", "crowd", "hubs")
     return out
