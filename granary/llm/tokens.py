@@ -54,10 +54,28 @@ def splitter(path: str):
     special = regex.compile("(" + "|".join(regex.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"]))) + ")") if added else None
     strings = [t["content"] for t in added]
 
+    # The libraries' tables of letters and digits are of different years. Characters beyond the Latin blocks are tried
+    # once; a text with one that the pattern takes for another kind goes to the tokenizer's own splitter.
+    rare, agree = regex.compile("[\u0250-\U0010ffff]").findall, {}
+    own = load(path).pre_tokenizer.pre_tokenize_str
+
+    def by_library(text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in own(text)]
+
+    def same(c: str) -> bool:
+        if c not in agree:
+            probe = f"a{c}1 {c}{c}!{c}"
+            agree[c] = find(probe) == by_library(probe)
+        return agree[c]
+
+    def plain(text: str) -> list[str]:
+        found = rare(text)
+        return find(text) if not found or all(map(same, set(found))) else by_library(text)
+
     def split(text: str) -> list[str]:
         if special is None or not any(s in text for s in strings):
-            return find(text)
-        return [w for k, part in enumerate(special.split(text)) for w in ([part] if k % 2 else find(part))]
+            return plain(text)
+        return [w for k, part in enumerate(special.split(text)) for w in ([part] if k % 2 else plain(part))]
 
     return split
 
