@@ -11,8 +11,8 @@ document's sketch, the smallest hash among its 5-word shingles, which exact copi
 share. A template also needs at least DIVERSE sources per document that has it, so that the lines of a large group of
 edited copies, which share few sketches, stay for the near-duplicate step.
 
-How it runs: one pass gives a row per document and leaf; leaves with enough sources are few and reduce the second
-pass to their lines. Counting is by keys with map-side sums: a line in a third of all documents costs a row per
+How it runs: one pass over the texts stores the lines as token hashes; leaves with enough sources are few and reduce
+all later steps to their lines. Counting is by keys with map-side sums: a line in a third of all documents costs a row per
 distinct sketch and task. Only documents with a dropped line are rewritten.
 
 Lines are split at \\n, tokens at ASCII white space. Null or empty texts have no lines to drop and stay as they are.
@@ -22,6 +22,9 @@ leaves such rows out if asked. Other columns are kept; ids may repeat or be null
 
 from __future__ import annotations
 
+import re
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,8 +38,9 @@ MIN_TOKENS = 3
 MIN_DOCS = 5
 CONSTANT = 0.5
 DIVERSE = 0.4
-SMALL = 1_000_000
+SMALL = 500_000
 
+_DIGIT = re.compile(rb"[0-9]").search
 _P = np.uint64(0x9E3779B97F4A7C15)
 _VARIABLE = np.uint64(0x5851F42D4C957F2D)
 
@@ -45,7 +49,7 @@ class TokenHashes(WordHashes):
     """Token to hash; tokens with a digit are all the variable token."""
 
     def __missing__(self, word: bytes) -> int:
-        if any(48 <= c <= 57 for c in word):
+        if _DIGIT(word):
             if len(self) > 400_000:
                 self.clear()
             self[word] = int(_VARIABLE)
@@ -54,55 +58,42 @@ class TokenHashes(WordHashes):
 
 
 def parse(text: str | None, known: TokenHashes) -> tuple[np.ndarray, ...]:
-    """Per line with tokens: its number, its leaf, its hash; further all tokens, each line's first token, the sketch."""
-    lines = [(k, w) for k, line in enumerate((text or "").encode().split(b"\n")) if (w := line.split())]
-    sizes = np.array([len(w) for _, w in lines], np.int64)
-    flat = [x for _, w in lines for x in w]
-    tokens = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
+    """Per line with tokens: its number, its leaf, its hash and its number of tokens; further all tokens and the sketch."""
+    parts = [line.split() for line in (text or "").encode().split(b"\n")]
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    number = np.flatnonzero(sizes)
+    sizes = sizes[number]
+    n = int(sizes.sum())
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none.view(np.uint64), 0
+    tokens = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.uint64, n)
     start = np.cumsum(sizes) - sizes
     leaf = sizes.astype(np.uint64)
     for k in range(DEPTH):
-        at = np.minimum(start + k, start + sizes - 1)
-        leaf = leaf * _P + (tokens[at] if len(tokens) else leaf)
-    place = (np.arange(len(tokens)) - np.repeat(start, sizes)).astype(np.uint64)
-    whole = np.add.reduceat(mix(tokens + place * _P), start) if len(tokens) else leaf
-    sketch = np.sort(shingles(tokens))[:1]
-    number = np.array([k for k, _ in lines], np.int64)
-    return number, mix(leaf).view(np.int64), mix(whole + leaf).view(np.int64), tokens, start, sizes, (sketch.view(np.int64)[0] if len(sketch) else 0)
-
+        leaf = leaf * _P + tokens[start + np.minimum(k, sizes - 1)]
+    place = (np.arange(n) - np.repeat(start, sizes)).astype(np.uint64)
+    whole = np.add.reduceat(mix(tokens + place * _P), start)
+    return number, mix(leaf).view(np.int64), mix(whole + leaf).view(np.int64), sizes, tokens, int(shingles(tokens).min().view(np.int64))
 
-def _leaves(batches):
-    known = TokenHashes()
-    schema = pa.schema([("leaf", pa.int64()), ("sketch", pa.int64())])
-    for batch in batches:
-        leaves, sketches = [], []
-        for text in batch.column(0).to_pylist():
-            _, leaf, _, _, _, sizes, sketch = parse(text, known)
-            found = np.unique(leaf[sizes >= MIN_TOKENS])
-            leaves.append(found)
-            sketches.append(np.full(len(found), sketch))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(leaves) if leaves else [], pa.int64()), pa.array(np.concatenate(sketches) if sketches else [], pa.int64())], schema=schema)
 
-
-LINES = "doc long, number int, leaf long, line long, sketch long, tokens array<long>"
+LINES = "doc long, number int, leaf long, line long, sketch long, tokens array<int>"
 
 
 def _lines(batches):
     known = TokenHashes()
-    schema = pa.schema([("doc", pa.int64()), ("number", pa.int32()), ("leaf", pa.int64()), ("line", pa.int64()), ("sketch", pa.int64()), ("tokens", pa.list_(pa.int64()))])
-    for batch in batches:
-        out = [[] for _ in range(5)]
-        offsets, kept = [0], []
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
+        found = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            number, leaf, line, tokens, start, sizes, sketch = parse(text, known)
-            for k in np.flatnonzero(sizes >= MIN_TOKENS).tolist():
-                for column, value in zip(out, (doc, number[k], leaf[k], line[k], sketch), strict=True):
-                    column.append(value)
-                kept.append(tokens[start[k] : start[k] + sizes[k]])
-                offsets.append(offsets[-1] + int(sizes[k]))
-        values = pa.array(np.concatenate(kept).view(np.int64) if kept else np.zeros(0, np.int64))
-        arrays = [pa.array(c, schema.field(k).type) for k, c in enumerate(out)] + [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)]
-        yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            number, leaf, line, sizes, tokens, sketch = parse(text, known)
+            ok = sizes >= MIN_TOKENS
+            n = int(ok.sum())
+            found.append((np.full(n, doc), number[ok], leaf[ok], line[ok], np.full(n, sketch), sizes[ok], tokens[np.repeat(ok, sizes)].astype(np.uint32).view(np.int32)))
+        *columns, sizes, tokens = (np.concatenate(c) for c in zip(*found, strict=True))
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc", "number", "leaf", "line", "sketch", "tokens"])
 
 
 def _key(id_col: str, text_col: str) -> Column:
@@ -112,11 +103,11 @@ def _key(id_col: str, text_col: str) -> Column:
 def dropped_lines(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc, numbers): by row key, the numbers of the lines to drop."""
     scratch = Scratch(spark)
-    pairs = docs.select(text_col).mapInArrow(_leaves, "leaf long, sketch long").distinct()
+    every = scratch.table(docs.select(_key(id_col, text_col), text_col).mapInArrow(_lines, LINES), "every")
+    pairs = every.select("leaf", "sketch").distinct()
     leaves = scratch.table(pairs.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("leaf"), "leaves")
-
-    lines = docs.select(_key(id_col, text_col), text_col).mapInArrow(_lines, LINES).join(broadcast_if_small(leaves, SMALL), "leaf")
-    lines = scratch.table(lines, "lines")
+    lines = scratch.table(every.join(broadcast_if_small(leaves, SMALL), "leaf"), "lines")
+    scratch.drop("every")
     # A token counts once per source; repeated lines of one source are one.
     once = lines.groupBy("leaf", "line", "sketch").agg(F.first("tokens").alias("tokens"))
     tokens = once.select("leaf", "sketch", F.posexplode("tokens").alias("at", "token")).where(F.col("at") >= DEPTH)
