@@ -148,3 +148,27 @@ def test_state_roundtrip(spark):
     new = spark.createDataFrame([("b", None), ("c", "z")], "k string, v string")
     assert sorted(map(tuple, state.upsert(old, new, "k").collect()), key=str) == [("a", "x"), ("b", None), ("c", "z")]
     assert sorted(map(tuple, state.update_keeping(old, new, "k", ["v"]).collect())) == [("a", "x"), ("b", "y"), ("c", "z")]
+
+
+def test_ingestion(spark):
+    from granary.operators import models
+    from granary.plans import ingestion
+
+    words = ["यह पहली पंक्ति है", "और यह समाप्त होती है।", "12/34", "प्रश्न: क्या?", "उत्तर: हाँ।"]
+    texts = spark.createDataFrame([("d", 1, k, t) for k, t in enumerate(words)] + [("d", 2, 0, "पृष्ठ दो।")], "document_id string, page_num int, position int, text string")
+    paras = ingestion.generate(texts, "hi", "paragraph").cache()
+    assert [(r.page, r.text) for r in paras.orderBy("position").collect()] == [(1, "यह पहली पंक्ति है और यह समाप्त होती है।"), (1, "प्रश्न: क्या?\nउत्तर: हाँ।"), (2, "पृष्ठ दो।")]
+    files_ = spark.createDataFrame([("d", "d.pdf", "hi", {"category": "Pravachan"})], "document_id string, original_filename string, language string, metadata map<string,string>")
+    pages = spark.createDataFrame([("d", 1, "248", "23-10-1985")], "document_id string, page int, pravachan_no string, date string")
+    got = ingestion.chunks(paras, files_, pages, models.embed()).orderBy("para_ord").collect()
+    assert [r.chunk_id for r in got] == ["d_p1_para0", "d_p1_para1", "d_p2_para2"]
+    assert str(got[0].date) == "1985-10-23" and got[2].date is None and got[0].text_content_gujarati is None and len(got[0].vector_embedding) == 64
+
+
+def test_lines_strategy(spark):
+    from granary.plans import ingestion
+
+    lines = [(1, "लंबी पंक्ति चलती है", 100, 900), (2, "और रुकती है।", 100, 400), (3, "Chapter 1", 100, 300), (4, "नई बात।", 130, 900)]
+    df = spark.createDataFrame([("d", 1, n, t, a, b, 100.0, 900.0) for n, t, a, b in lines], "document_id string, page_num int, line_num int, text string, x_start int, x_end int, prose_left_margin double, prose_right_margin double")
+    got = ingestion.generate(df, "hi", header_patterns=["^Chapter"]).orderBy("position").collect()
+    assert [r.text for r in got] == ["लंबी पंक्ति चलती है और रुकती है।", "नई बात।"]
