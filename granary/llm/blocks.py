@@ -18,7 +18,6 @@ from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -163,20 +162,21 @@ class Values:
         return self.flat[at]
 
 
-def assemble(blocks: DataFrame, values: DataFrame, unpack_values: Callable, each: Callable, schema: str) -> DataFrame:
+def assemble(blocks: DataFrame, values: DataFrame, unpack_values: Callable, each: Callable, schema: str, chunk: int = 200) -> DataFrame:
     """Brings the words' values to the documents' blocks.
 
     values: (bucket, block, body), where unpack_values(body) gives (sizes, flat): for each of the words that the
-    bucket has of the block how many numbers it stands for, and these. each(row with ids, n_bytes and marks, list of
-    arrays of places, Values by place) gives a pandas frame for a block.
+    bucket has of the block how many numbers it stands for, and these. each(ids, n_bytes, marks, list of arrays of
+    places, Values by place) gives a record batch for some documents of a block, chunk at a time.
     """
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         # Blocks of equal content share their name and so have the same words.
-        found = {row.bucket: unpack_values(row.body) for row in right.itertuples(index=False)}
+        found = {b: unpack_values(body) for b, body in zip(right["bucket"].to_pylist(), right["body"].to_pylist(), strict=True)}
         out = []
-        for row in left.itertuples(index=False):
-            bucket = unpack(row.buckets)
+        for k in range(left.num_rows):
+            cell = lambda c: left[c][k]  # noqa: B023, E731
+            bucket = unpack(cell("buckets").as_py())
             order = np.argsort(bucket, kind="stable")
             parts = [found[b] for b in np.unique(bucket).tolist()]
             none = np.zeros(0, np.int64)
@@ -184,8 +184,12 @@ def assemble(blocks: DataFrame, values: DataFrame, unpack_values: Callable, each
             by_bucket = Values(sizes, flat)
             value = Values(np.zeros(len(order), np.int64), flat)
             value.sizes[order], value.starts[order] = by_bucket.sizes, by_bucket.starts
-            places = np.split(unpack(row.body), np.cumsum(row.lengths)[:-1]) if len(row.lengths) else []
-            out.append(each(row, places, value))
-        return pd.concat(out, ignore_index=True)
-
-    return blocks.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(run, schema)
+            places, ends = unpack(cell("body").as_py()), np.cumsum(cell("lengths").values.to_numpy())
+            ids, n_bytes, marks = (cell(c).values for c in ("ids", "n_bytes", "marks"))
+            for a in range(0, len(ends), chunk):
+                cut = ends[a : a + chunk]
+                first = ends[a - 1] if a else 0
+                out.append(each(ids[a : a + chunk], n_bytes[a : a + chunk], marks[a : a + chunk], np.split(places[first : cut[-1]], cut[:-1] - first), value))
+        return pa.Table.from_batches(out)
+
+    return blocks.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(run, schema)

@@ -26,11 +26,13 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.blocks import assemble, pack, store, unpack
+from granary.llm.blocks import Values, assemble, pack, store, unpack
 from granary.llm.common import Scratch, let
 
 META = "▁"
@@ -250,19 +252,27 @@ def encode_long(word: str, model: Model, ranks: dict[str, tuple[int, int]]) -> b
 def _answer(path: str):
     """Per bucket: the ids of each block's words, packed as their numbers of ids and the ids."""
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        model, known = load(path), dict(zip(right["word"], right["value"], strict=True))
-        ranks = {}
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        model = load(path)
+        w, known = width(model), right["word"].combine_chunks()
+        lists = left["words"].combine_chunks()
+        words, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        at = pc.index_in(words, value_set=known)
+        answers = right["value"].to_pylist()
+        place = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if at.null_count:
+            # Words too long for a fold.
+            long = pc.unique(words.filter(at.is_null()))
+            ranks = {p: (int(r), i) for p, i, r in model.pieces}
+            place[place < 0] = len(answers) + pc.index_in(words.filter(at.is_null()), value_set=long).to_numpy(zero_copy_only=False)
+            answers += [encode_long(x, model, ranks) for x in long.to_pylist()]
+        sizes = np.fromiter(map(len, answers), np.int64, len(answers)) // w
+        value = Values(sizes, np.frombuffer(b"".join(answers), f">u{w}"))
         bodies = []
-        for words in left["words"]:
-            for w in words:
-                if len(w) > LONG and w not in known:
-                    ranks = ranks or {p: (int(r), i) for p, i, r in model.pieces}
-                    known[w] = encode_long(w, model, ranks)
-            values = [known[w] for w in words]
-            sizes = np.fromiter(map(len, values), np.int64, len(values)) // width(model)
-            bodies.append([*pack(sizes), zstandard.compress(b"".join(values))])
-        return pd.DataFrame({"bucket": left["bucket"], "block": left["block"], "body": bodies})
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            part = place[a:b]
+            bodies.append([*pack(sizes[part]), zstandard.compress(value.of(part).tobytes())])
+        return pa.Table.from_arrays([left["bucket"], left["block"], pa.array(bodies, pa.list_(pa.binary()))], names=["bucket", "block", "body"])
 
     return run
 
@@ -316,18 +326,20 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str, id_col: st
     each_word = F.explode(F.transform("words", lambda w: F.struct(w.alias("word"), F.col("block"))))
     distinct = words.select(F.col("bucket").alias("bucket"), each_word.alias("w")).select("bucket", "w.word").where(F.length("word") <= LONG).groupBy("bucket", "word").agg(F.lit(1).alias("one"))
     encoded = encode_words(distinct.select("bucket", "word"), model)
-    values = words.groupBy("bucket").cogroup(encoded.groupBy("bucket")).applyInPandas(_answer(path), "bucket long, block long, body array<binary>")
+    values = words.groupBy("bucket").cogroup(encoded.groupBy("bucket")).applyInArrow(_answer(path), "bucket long, block long, body array<binary>")
     shape = "doc_id long, n_tokens long, " + ("ids_sha256 string, round_trip boolean" if digests else "ids array<int>")
 
-    def each(row, parts, value):
+    def each(doc_ids, n_bytes, marks, parts, value):
         ids = [value.of(part) for part in parts]
-        out = {"doc_id": pd.array(row.ids, "Int64"), "n_tokens": [len(x) for x in ids]}
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        columns = {"doc_id": doc_ids, "n_tokens": pa.array(counts)}
         if digests:
-            out["ids_sha256"] = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
-            out["round_trip"] = [mark_of(decode(x, path)) == m for x, m in zip(ids, row.marks, strict=True)]
+            columns["ids_sha256"] = pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string())
+            columns["round_trip"] = pa.array([mark_of(decode(x, path)) == m for x, m in zip(ids, marks.to_pylist(), strict=True)], pa.bool_())
         else:
-            out["ids"] = ids
-        return pd.DataFrame(out)
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+        return pa.RecordBatch.from_pydict(columns)
 
     return assemble(blocks, values, _values(w), each, shape)
 

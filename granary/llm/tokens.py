@@ -14,7 +14,6 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,11 +106,11 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str, id_col: str =
     blocks, words = store(Scratch(spark), docs, id_col, text_col, lambda t: splitter(path)(t), counted=True)
     pieces = words.mapInArrow(_count_pieces(path), "bucket long, block long, body array<binary>")
 
-    def each(row, parts, value):
+    def each(ids, n_bytes, marks, parts, value):
         def total(p: np.ndarray) -> int:
             at, n = np.split(p, 2)
             return int((value.flat[value.starts[np.cumsum(at)]] * n).sum())
 
-        return pd.DataFrame({"doc_id": pd.array(row.ids, "Int64"), "n_bytes": row.n_bytes, "n_tokens": [total(p) for p in parts]})
+        return pa.RecordBatch.from_arrays([ids, n_bytes, pa.array([total(p) for p in parts], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     return assemble(blocks, pieces, _counts, each, SCHEMA).withColumn("over_limit", F.col("n_tokens") > limit)
