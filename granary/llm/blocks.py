@@ -23,10 +23,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Scratch
+from granary.llm.common import Scratch, give_back
 
 #: Characters after which a block ends; bounds a task's memory.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 
 #: Characters of the corpus for each bucket of words; bounds the words that meet in one task.
 BUCKET_CHARS = 8_000_000
@@ -139,6 +139,8 @@ def store(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, split:
             if counted:
                 seqs = [np.concatenate([np.diff(at.astype(np.int64), prepend=0), n]) for at, n in (np.unique(s, return_counts=True) for s in seqs)]
             yield batch(block=[block], ids=[ids], n_bytes=[sizes], marks=[marks], lengths=[[len(s) for s in seqs]], buckets=[pack(bucket)], body=[pack(np.concatenate(seqs))])
+            del words, seqs, ids, sizes, marks, bucket, order, flat
+            give_back()
 
     blocks = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, STORED_SQL)
     stored = scratch.bucketed(blocks, "blocks", "block", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -162,7 +164,7 @@ class Values:
         return self.flat[at]
 
 
-def assemble(blocks: DataFrame, values: DataFrame, unpack_values: Callable, each: Callable, schema: str, chunk: int = 200) -> DataFrame:
+def assemble(blocks: DataFrame, values: DataFrame, unpack_values: Callable, each: Callable, schema: str, chunk: int = 100) -> DataFrame:
     """Brings the words' values to the documents' blocks.
 
     values: (bucket, block, body), where unpack_values(body) gives (sizes, flat): for each of the words that the
@@ -190,6 +192,7 @@ def assemble(blocks: DataFrame, values: DataFrame, unpack_values: Callable, each
                 cut = ends[a : a + chunk]
                 first = ends[a - 1] if a else 0
                 out.append(each(ids[a : a + chunk], n_bytes[a : a + chunk], marks[a : a + chunk], np.split(places[first : cut[-1]], cut[:-1] - first), value))
+        give_back()
         return pa.Table.from_batches(out)
 
     return blocks.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(run, schema)

@@ -77,6 +77,18 @@ class Scratch:
                 hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system, so that workers kept for later tasks are small."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def is_small(df: DataFrame, rows: int) -> bool:
     """True if df has at most so many rows; reads no more than needed to tell."""
     return df.limit(rows + 1).count() <= rows

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import Scratch, broadcast_if_small
+from granary.llm.common import Scratch, broadcast_if_small, give_back
 from granary.llm.neardup import WordHashes, mix, shingles
 
 DEPTH = 3
@@ -94,6 +94,8 @@ def _lines(batches):
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))]
         yield pa.RecordBatch.from_arrays(arrays, names=["doc", "number", "leaf", "line", "sketch", "tokens"])
+    known.clear()
+    give_back()
 
 
 def _key(id_col: str, text_col: str) -> Column:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import Scratch, broadcast_if_small, is_small
+from granary.llm.common import Scratch, broadcast_if_small, give_back, is_small
 from granary.llm.links import components
 
 SHINGLE = 5
@@ -107,6 +107,8 @@ def _sign(batches):
             digests.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None)
             sigs.append(minima(values).tobytes() if len(values) else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
+    known.clear()
+    give_back()
 
 
 def _labels(batches):
@@ -216,6 +218,9 @@ def _confirm(batches):
             both = len(np.intersect1d(p, q, assume_unique=True))
             ok.append(both > 0 and 100 * both >= 75 * (len(p) + len(q) - both))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=schema).filter(pa.array(ok, pa.bool_()))
+    known.clear()
+    sets.clear()
+    give_back()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:

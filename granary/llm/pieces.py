@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.blocks import Values, assemble, pack, store, unpack
-from granary.llm.common import Scratch, let
+from granary.llm.common import Scratch, give_back, let
 
 META = "▁"
 LONG = 32
@@ -272,6 +272,7 @@ def _answer(path: str):
         for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
             part = place[a:b]
             bodies.append([*pack(sizes[part]), zstandard.compress(value.of(part).tobytes())])
+        give_back()
         return pa.Table.from_arrays([left["bucket"], left["block"], pa.array(bodies, pa.list_(pa.binary()))], names=["bucket", "block", "body"])
 
     return run
