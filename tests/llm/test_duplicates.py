@@ -202,6 +202,43 @@ def test_passages_inside_other_texts(spark):
     assert all(got[k].class_id == 0 and any(s.first_word <= 80 and s.first_word + s.n_words >= 140 for s in got[k].passages) for k in range(40))
 
 
+def shingled(rng, words, edits):
+    """Shingles of two texts that share these words but for the edited places, between words of their own."""
+    own = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
+    edited = words.copy()
+    edited[edits] = own(len(edits))
+    return [passages.shingles(np.concatenate([own(30), w, own(20)])) for w in (words, edited)]
+
+
+def test_stretches_join_over_edits_anywhere():
+    """Every passage that begins and ends with a shared shingle, has the length and the similarity is found."""
+    rng = np.random.default_rng(4)
+    places = [(n, [p]) for n in (54, 60, 70) for p in range(n)] + [(n, sorted(rng.choice(n, k, replace=False))) for n, k in ((80, 2), (120, 3), (160, 4)) for _ in range(300)]
+    found = 0
+    for n, edits in places:
+        x, y = shingled(rng, rng.integers(0, 1 << 62, n).astype(np.uint64), edits)
+        shared = np.flatnonzero(np.isin(x, y))
+        want = set()
+        for a in shared:
+            for b in shared[shared >= a + 45]:
+                both = int(((shared >= a) & (shared <= b)).sum())
+                if both >= 0.75 * (2 * (b - a + 1) - both):
+                    want |= set(range(a, b + 1))
+        got = passages.stretches(x, y)
+        assert {k for a, b, _, _ in got for k in range(a, b + 1)} == want and all(a == c and b == d for a, b, c, d in got)
+        found += bool(want)
+    assert found > 0.9 * len(places)
+
+
+def test_edited_passage_inside_other_texts(spark):
+    rng = random.Random(5)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = text(60)
+    rows = [(k, " ".join([*text(80), *shared, *text(70)])) for k in range(40)] + [(50, " ".join([*text(40), *shared[:30], "changed", *shared[31:], *text(40)]))]
+    got = {r.doc_id: r for r in passages.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50].class_id == 0 and any(s.first_word <= 40 and s.first_word + s.n_words >= 100 for s in got[50].passages)
+
+
 def test_passages_odd_rows(spark, docs, no_docs):
     got = {r.doc_id: (r.class_id, r.n_repeated_words) for r in passages.repeated_passages(spark, docs).collect()}
     assert set(got) == {1, 2, 3, 4, 11} and got[2] == (1, 88) and got[11] == (4, 66)
