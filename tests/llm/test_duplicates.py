@@ -239,6 +239,22 @@ def test_edited_passage_inside_other_texts(spark):
     assert got[50].class_id == 0 and any(s.first_word <= 40 and s.first_word + s.n_words >= 100 for s in got[50].passages)
 
 
+def test_passages_around_a_frequent_line(spark):
+    """Documents with a frequent line in other surroundings lie between two that share a passage with it."""
+    rng = random.Random(8)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line = text(32)
+    rows = [(k, [*text(60), *line, *text(60)]) for k in range(1000)]
+    for k in range(20):
+        before, behind = text(14), text(14)
+        for i in (k, 500 + k):
+            rows[i] = (i, [*text(50), *before, *line, *behind, *text(50)])
+    rows = [(i, " ".join(w)) for i, w in rows]
+    got = {r.doc_id: r for r in passages.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) <= {*range(20), *range(500, 520)}
+    assert sum(k in got and 500 + k in got and got[500 + k].class_id == k for k in range(20)) >= 19
+
+
 def test_passages_odd_rows(spark, docs, no_docs):
     got = {r.doc_id: (r.class_id, r.n_repeated_words) for r in passages.repeated_passages(spark, docs).collect()}
     assert set(got) == {1, 2, 3, 4, 11} and got[2] == (1, 88) and got[11] == (4, 66)
