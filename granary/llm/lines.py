@@ -8,8 +8,8 @@ A template that recurs in MIN_DOCS sources is dropped with all its lines.
 
 Copies of a document share all their lines without any of them being boilerplate, so sources are counted by a
 document's sketch, the smallest hash among its 5-word shingles, which exact copies always and edited copies mostly
-share. A template also needs at least DIVERSE sources per document that has it, so that the lines of a large group of
-edited copies, which share few sketches, stay for the near-duplicate step.
+share. A template also needs at least DIVERSE sources per distinct text that has it, so that the lines of a large group
+of edited copies, which share few sketches, stay for the near-duplicate step; exact copies are one text.
 
 How it runs: one pass over the texts stores the lines as token hashes; leaves with enough sources are few and reduce
 all later steps to their lines. Counting is by keys with map-side sums: a line in a third of all documents costs a row per
@@ -77,23 +77,23 @@ def parse(text: str | None, known: TokenHashes) -> tuple[np.ndarray, ...]:
     return number, mix(leaf).view(np.int64), mix(whole + leaf).view(np.int64), sizes, tokens, int(shingles(tokens).min().view(np.int64))
 
 
-LINES = "doc long, number int, leaf long, line long, sketch long, tokens array<int>"
+LINES = "doc long, copy long, number int, leaf long, line long, sketch long, tokens array<int>"
 
 
 def _lines(batches):
     known = TokenHashes()
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
         found = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc, copy, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             number, leaf, line, sizes, tokens, sketch = parse(text, known)
             ok = sizes >= MIN_TOKENS
             n = int(ok.sum())
-            found.append((np.full(n, doc), number[ok], leaf[ok], line[ok], np.full(n, sketch), sizes[ok], tokens[np.repeat(ok, sizes)].astype(np.uint32).view(np.int32)))
+            found.append((np.full(n, doc), np.full(n, copy), number[ok], leaf[ok], line[ok], np.full(n, sketch), sizes[ok], tokens[np.repeat(ok, sizes)].astype(np.uint32).view(np.int32)))
         *columns, sizes, tokens = (np.concatenate(c) for c in zip(*found, strict=True))
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc", "number", "leaf", "line", "sketch", "tokens"])
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc", "copy", "number", "leaf", "line", "sketch", "tokens"])
     known.clear()
     give_back()
 
@@ -105,7 +105,7 @@ def _key(id_col: str, text_col: str) -> Column:
 def dropped_lines(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc, numbers): by row key, the numbers of the lines to drop."""
     scratch = Scratch(spark)
-    every = scratch.table(docs.select(_key(id_col, text_col), text_col).mapInArrow(_lines, LINES), "every")
+    every = scratch.table(docs.select(_key(id_col, text_col), F.xxhash64(text_col, F.length(text_col)), text_col).mapInArrow(_lines, LINES), "every")
     pairs = every.select("leaf", "sketch").distinct()
     leaves = scratch.table(pairs.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("leaf"), "leaves")
     lines = scratch.table(every.join(broadcast_if_small(leaves, SMALL), "leaf"), "lines")
@@ -116,19 +116,19 @@ def dropped_lines(spark: SparkSession, docs: DataFrame, id_col: str, text_col: s
     constant = tokens.distinct().groupBy("leaf", "at", "token").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("leaf", F.xxhash64("at", "token").alias("cell"))
     # Per leaf, a set as large as a line's length times the variants that recur.
     cells = scratch.table(constant.groupBy("leaf").agg(F.collect_set("cell").alias("cells")), "cells")
-    told = lines.select("doc", "number", "leaf", "line", "sketch", "tokens").join(cells, "leaf", "left")
+    told = lines.select("doc", "copy", "number", "leaf", "line", "sketch", "tokens").join(cells, "leaf", "left")
     hashed = F.transform("tokens", lambda t, i: F.when(i < DEPTH, F.lit(0).cast("long")).otherwise(F.xxhash64(i, t)))
-    told = told.select("doc", "number", "leaf", "line", "sketch", hashed.alias("h"), "cells")
+    told = told.select("doc", "copy", "number", "leaf", "line", "sketch", hashed.alias("h"), "cells")
     fixed = F.when(F.col("cells").isNull(), F.size(F.filter("h", lambda x: x == 0))).otherwise(F.size(F.filter("h", lambda x: (x == 0) | F.array_contains("cells", x))))
     pattern = F.transform("h", lambda x: F.when((x == 0) | F.array_contains("cells", x), x).otherwise(F.lit(1).cast("long")))
     generalised = F.col("cells").isNotNull() & (fixed >= CONSTANT * F.size("h"))
     template = F.when(generalised, F.xxhash64("leaf", pattern)).otherwise(F.col("line"))
-    told = scratch.table(told.select("doc", "number", "sketch", template.alias("template")), "told")
+    told = scratch.table(told.select("doc", "copy", "number", "sketch", template.alias("template")), "told")
     scratch.drop("lines", "cells")
 
     sources = told.select("template", "sketch").distinct().groupBy("template").agg(F.count("*").alias("sources"))
-    places = told.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("docs"))
-    recurring = sources.where(F.col("sources") >= min_docs).join(places, "template").where(F.col("sources") >= DIVERSE * F.col("docs")).select("template")
+    places = told.select("template", "copy").distinct().groupBy("template").agg(F.count("*").alias("texts"))
+    recurring = sources.where(F.col("sources") >= min_docs).join(places, "template").where(F.col("sources") >= DIVERSE * F.col("texts")).select("template")
     recurring = scratch.table(recurring, "recurring")
     out = told.join(broadcast_if_small(recurring, SMALL), "template").groupBy("doc").agg(F.array_sort(F.collect_set("number")).alias("numbers"))
     out = scratch.table(out, "out")

@@ -162,6 +162,17 @@ def test_templates_generalise_variable_fields(spark):
     check_lines(rows, lines.line_report(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
+def test_copies_do_not_keep_a_recurring_line(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join(f"w{rng.choice('abcdefgh')}{''.join(rng.choices('abcdefgh', k=8))}" for _ in range(12))
+    notice = "all rights are reserved here"
+    rows = [(k, f"{text()}\n{notice}") for k in range(20)]
+    copied = f"{text()}\n{notice}"
+    rows += [(100 + k, copied) for k in range(60)]
+    got = lines.clean_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 80 and all(notice not in r.text and "\n" not in r.text for r in got)
+
+
 def test_lines_odd_rows(spark, docs, no_docs, docs_rows):
     check_lines([(i, t) for i, t, _ in docs_rows], lines.line_report(spark, docs).collect())
     assert lines.line_report(spark, no_docs).count() == 0
