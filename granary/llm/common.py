@@ -28,13 +28,15 @@ def words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         at = context._jsc.sc().getCheckpointDir()
         if at.isDefined():
             return at.get()
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="granary-")
         context.setCheckpointDir(found)
         return context._jsc.sc().getCheckpointDir().get()
@@ -90,10 +92,13 @@ def give_back() -> None:
 
 
 def is_small(df: DataFrame, rows: int) -> bool:
-    """True if df has at most so many rows; reads no more than needed to tell."""
-    return df.limit(rows + 1).count() <= rows
+    """True if df has at most so many rows of 64 bytes; longer ones count for more. Reads no more than needed to tell."""
+    long = {"string": F.octet_length, "binary": F.octet_length}
+    sizes = [F.coalesce(long[t](c), F.lit(0)) for c, t in df.dtypes if t in long] + [8 * F.greatest(F.size(c), F.lit(0)) for c, t in df.dtypes if t.startswith("array")]
+    weight = F.sum(sum((F.floor(s / 64) for s in sizes), F.lit(1)).cast("long"))
+    return (df.limit(rows + 1).agg(weight).first()[0] or 0) <= rows
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """df marked for broadcast if its row count is within rows; otherwise as it is, for a shuffle join."""
+    """df marked for broadcast if it is_small; otherwise as it is, for a shuffle join."""
     return F.broadcast(df) if is_small(df, rows) else df

@@ -96,40 +96,67 @@ def test_components(spark):
 # Lines
 
 
-def sketch(text):
-    known = lines.TokenHashes()
-    return lines.parse(text, known)[-1]
+def documents_of(texts, own):
+    """How many documents these texts are that share a template: those whose other lines are similar count once. own(text): the lines of the template."""
+    rest = {}
+    for t in texts:
+        lines_ = [x.split() for x in (t or "").split("\n") if x.split()]
+        gone = own(t)
+        rest[t] = frozenset(tuple(w[k : k + 5]) for w in lines_ if tuple(w) not in gone for k in range(max(1, len(w) - 4)))
+    return len(set(classes_of_half(rest).values()))
+
+
+def classes_of_half(sets):
+    """As classes(), for similarity one half; empty sets are one class."""
+    root = {i: i for i in sets}
 
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
 
-def dropped(rows):
+    having, empty = defaultdict(list), [i for i in sets if not sets[i]]
+    for i in empty:
+        root[i] = empty[0]
+    for i in sets:
+        shared = Counter(j for s in sets[i] for j in having[s])
+        for j, n in shared.items():
+            if 2 * n >= len(sets[i]) + len(sets[j]) - n:
+                root[find(i)] = find(j)
+        for s in sets[i]:
+            having[s].append(i)
+    return {i: find(i) for i in sets}
+
+
+def dropped(rows, min_docs=5, depth=3, constant=0.5, short=3, short_share=0.001):
     """The templates by the definition, one line at a time."""
     mask = lambda w: "<*>" if any("0" <= c <= "9" for c in w) else w
     found = []
     for d, (_, text) in enumerate(rows):
-        s = sketch(text)
         for n, line in enumerate((text or "").split("\n")):
-            w = [mask(x.decode(errors="replace")) for x in line.encode().split()]
-            if len(w) >= lines.MIN_TOKENS:
-                found.append((d, n, s, tuple(w), (len(w), *w[: lines.DEPTH])))
-    leaf = defaultdict(set)
-    for _, _, s, _, key in found:
-        leaf[key].add(s)
-    found = [f for f in found if len(leaf[f[4]]) >= lines.MIN_DOCS]
-    cells = defaultdict(set)
-    for _, _, s, w, key in found:
-        for k, x in enumerate(w[lines.DEPTH :]):
-            cells[key, k, x].add(s)
+            if raw := tuple(x.decode(errors="replace") for x in line.encode().split()):
+                w = tuple(map(mask, raw))
+                found.append((d, n, raw, w, (len(w), *w[:depth])))
+    texts = len({rows[d][1] for d, *_ in found})
+    leaf, having = defaultdict(set), defaultdict(set)
+    for d, _, _, w, key in found:
+        leaf[key].add(rows[d][1])
+        having[w].add(rows[d][1])
+    found = [f for f in found if len(leaf[f[4]]) >= min_docs]
+    cells = Counter((key, k, x) for w, key in {(f[3], f[4]) for f in found} for k, x in enumerate(w[depth:]) for _ in having[w])
     by = defaultdict(list)
     for f in found:
         key, w = f[4], f[3]
-        pattern = [*w[: lines.DEPTH], *(x if len(cells[key, k, x]) >= lines.MIN_DOCS else None for k, x in enumerate(w[lines.DEPTH :]))]
-        constant = sum(x is not None for x in pattern)
-        some = any(k[0] == key and len(v) >= lines.MIN_DOCS for k, v in cells.items())
-        by[("t", key, tuple(pattern)) if some and constant >= lines.CONSTANT * len(w) else ("l", w)].append(f)
+        pattern = [*w[:depth], *(x if cells[key, k, x] >= min_docs else None for k, x in enumerate(w[depth:]))]
+        some = any(x is not None for x in pattern[depth:])
+        by[("t", key, tuple(pattern)) if some and sum(x is not None for x in pattern) >= constant * len(w) else ("l", w)].append(f)
     gone = defaultdict(set)
     for fs in by.values():
-        sources, docs = len({f[2] for f in fs}), len({rows[f[0]] for f in fs})
-        if sources >= lines.MIN_DOCS and sources >= lines.DIVERSE * docs:
+        in_text = defaultdict(set)
+        for f in fs:
+            in_text[rows[f[0]][1]].add(f[2])
+        few = len(in_text) < max(min_docs, short_share * texts if len(fs[0][3]) < short else 0)
+        if not few and documents_of(list(in_text), in_text.__getitem__) >= min_docs:
             for f in fs:
                 gone[f[0]].add(f[1])
     return gone
@@ -173,6 +200,63 @@ def test_copies_do_not_keep_a_recurring_line(spark):
     assert len(got) == 80 and all(notice not in r.text and "\n" not in r.text for r in got)
 
 
+def own_words(rng, n):
+    return " ".join("w" + "".join(rng.choices("abcdefgh", k=9)) for _ in range(n))
+
+
+def cleaned(spark, rows):
+    return {r.doc_id: r.text for r in lines.clean_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+@pytest.mark.parametrize(("own", "first"), [(5, True), (5, False), (200, True)])
+def test_short_documents_lose_their_license(spark, own, first):
+    rng = random.Random(21)
+    notice = own_words(rng, 24)
+    texts = {k: own_words(rng, own) for k in range(60)}
+    got = cleaned(spark, [(k, f"{notice}\n{t}" if first else f"{t}\n{notice}") for k, t in texts.items()])
+    assert got == texts
+
+
+def test_edited_copies_keep_their_lines_and_lose_the_notice(spark):
+    """A notice in different documents and in a large group of edited copies; the copies' own lines are no boilerplate."""
+    rng = random.Random(22)
+    notice = "all rights are reserved in this place"
+    base = [own_words(rng, 12).split() for _ in range(10)]
+    rows = [(k, f"{own_words(rng, 40)}\n{notice}") for k in range(100)]
+    for k in range(600):
+        copy = [list(x) for x in base]
+        for _ in range(rng.randrange(1, 5)):
+            copy[rng.randrange(10)][rng.randrange(12)] = own_words(rng, 1)
+        rows.append((1000 + k, "\n".join([*map(" ".join, copy), notice])))
+    got = cleaned(spark, rows)
+    assert all(got[i] == t.removesuffix("\n" + notice) for i, t in rows)
+
+
+def test_lines_of_many_copied_documents_go(spark):
+    """Each of 100 documents stands there in six edited copies: copies count as one, not as none."""
+    rng = random.Random(23)
+    notice, rows = own_words(rng, 9), []
+    for k in range(100):
+        text = own_words(rng, 60).split()
+        for j in range(6):
+            text[rng.randrange(60)] = own_words(rng, 1)
+            rows.append((6 * k + j, " ".join(text) + "\n" + notice))
+    got = cleaned(spark, rows)
+    assert all(got[i] == t.removesuffix("\n" + notice) for i, t in rows)
+
+
+def test_short_lines_need_a_share_of_the_texts(spark):
+    rng = random.Random(24)
+    rows = [(k, f"{own_words(rng, 20)}\nRead more\n{own_words(rng, 20)}" + ("\nEnd" if k < 4 else "")) for k in range(30)]
+    got = cleaned(spark, rows)
+    assert all("Read more" not in t for t in got.values()) and all("End" in got[k] for k in range(4))
+
+
+def test_clashing_columns_stay(spark, docs):
+    out = lines.clean_lines(spark, docs)
+    assert out.columns == [*docs.columns, "__lines"] and out.where("numbers != 'x' OR key != 'x'").count() == 0
+
+
 def test_lines_odd_rows(spark, docs, no_docs, docs_rows):
     check_lines([(i, t) for i, t, _ in docs_rows], lines.line_report(spark, docs).collect())
     assert lines.line_report(spark, no_docs).count() == 0
