@@ -26,6 +26,91 @@ def test_layouts(shell):
     assert html.main_text(page, None) == TEXT
 
 
+FRAMES = [
+    "<form id=aspnetForm action='x'><div class=menu>a b c d</div>{}<input name=q></form>",
+    "<div class='widget Blog'>{}</div><div class='widget Profile'>about me me me</div>",
+    "<div class='notice-of-award'>{}</div>",
+    "<main>{}</main><div class=notice>" + "this is a very long notice of ours " * 20 + "</div>",
+    "<div class=story>{}</div><div class=comments>" + "<p>a reader has a lot to say about this</p>" * 20 + "</div>",
+    "<form><div class=story>{}</div><div id=comments>" + "<p>a reader has a lot to say about this</p>" * 20 + "</div></form>",
+    "<div title=it's><p hidden>no</p>{}</div>",
+    "<div data-x='>' title=a>{}</div>",
+]
+
+
+@pytest.mark.parametrize("shell", FRAMES)
+def test_frames_are_no_parts(shell):
+    assert html.main_text(f"<html><body>{shell.format(MAIN)}</body></html>", None) == TEXT
+
+
+def test_named_parts():
+    page = "<main><p>First of it all, some text.</p><div class='related-work'><p>Work by others is text too.</p></div><div class='related-posts'><p>More posts of ours</p></div><p>It's <b title=it's>the</b> end.</p></main>"
+    assert html.main_text(page, None) == "First of it all, some text. Work by others is text too. It's the end."
+    assert [html.told_by(n) for n in ("cookie-notice", "site-header", "notice-of-award", "has-sidebar", "share-buttons", "entry")] == [html.NEVER, html.FRAME, 0, 0, html.FRAME, 0]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>kept</p>" + "<a " * 350_000, "kept"),
+        ("<p>kept</p>" + "<a x=\"" * 150_000, "kept"),
+        ("<p>kept</p>" + "<!--" * 250_000, "kept"),
+        ("<p>kept</p>" + "<script>" * 130_000, "kept"),
+        ("<p>kept " + "< " * 500_000, "kept" + " <" * 500_000),
+        ("<div>" * 200_000 + "deep" + "</div>" * 200_000, "deep"),
+        ("<div class='a b'>" * 60_000 + "deep", "deep"),
+        ("<div>" * 100_000 + "deep" + "</p></b></section>" * 50_000, "deep"),
+        ("<b>" * 100_000 + "deep" + "</i></b>" * 100_000, "deep"),
+        ("<form>" * 100_000 + "deep", "deep"),
+        ("<p>a<x>" * 100_000, " ".join("a" * 100_000)),
+        ("<ul><li>" * 100_000 + "deep", "deep"),
+    ],
+)
+def test_pages_take_time_in_proportion(page, text):
+    import time
+
+    began = time.process_time()
+    top = html.best(html.blocks(page))
+    assert html.main_text(page, html.path_of(top) if top else None) == text
+    assert time.process_time() - began < 10
+
+
+def test_nested_tags_take_memory_in_proportion():
+    import tracemalloc
+
+    tracemalloc.start()
+    assert html.main_text("<div class='a b'>" * 20_000 + "deep", None) == "deep"
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+
+
+def test_text_against_an_independent_parser():
+    """Random trees of known text: the expected text is made along with the page."""
+    import random
+
+    rng = random.Random(12)
+    word = lambda: rng.choice(["alpha", "beta", "r&amp;d", "x&lt;y", "caf&eacute;", "&#65;&#x42;"])
+    plain = {"r&amp;d": "r&d", "x&lt;y": "x<y", "caf&eacute;": "café", "&#65;&#x42;": "AB"}
+
+    def part(depth):
+        if depth == 0 or rng.random() < 0.5:
+            words = [word() for _ in range(rng.randrange(8, 20))]
+            tag = rng.choice(["p", "h2", "blockquote", "div"])
+            body = [f"<b>{w}</b>" if rng.random() < 0.1 else w for w in words]
+            return f"<{tag}>{rng.choice([' ', chr(10), '  '])}{' '.join(body)}</{tag}>\n", [" ".join(plain.get(w, w) for w in words)]
+        if rng.random() < 0.25:
+            return rng.choice(["<nav>{}</nav>", "<div class='ad-slot x'>{}</div>".replace(" x", ""), "<script>{}</script>", "<aside>{}</aside>", "<div class=share-buttons>{}</div>", "<!-- {} -->"]).format("no text here"), []
+        inner = [part(depth - 1) for _ in range(rng.randrange(1, 5))]
+        return "<div>" + "".join(h for h, _ in inner) + "</div>", [t for _, ts in inner for t in ts]
+
+    for _ in range(200):
+        inner = [part(3) for _ in range(4)]
+        want = " ".join(t for _, ts in inner for t in ts)
+        page = "<body><div id=top class=site-header>Name of it</div><article>" + "".join(h for h, _ in inner) + "</article><footer>foot</footer></body>"
+        assert html.main_text(page, None) == want
+
+
 def test_pages_of_the_table(spark):
     rows = {r.page_id: r for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
     got = op4_html_extraction(spark, DATA).collect()
