@@ -22,7 +22,7 @@ m AS (SELECT l.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, la
   FROM l LEFT JOIN rep ON rep.r = l.r),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_words BETWEEN 20 AND 1000000 AND word_chars::DOUBLE / n_words BETWEEN 2 AND 20 AND n_symbols::DOUBLE / n_words <= 0.1 AND n_stop_words::DOUBLE / n_words >= 0.03
+  NOT base_failed AND n_words >= 20 AND word_chars::DOUBLE / n_words BETWEEN 2 AND 20 AND n_symbols::DOUBLE / n_words <= 0.1 AND n_stop_words::DOUBLE / n_words >= 0.03
   AND n_dup_lines::DOUBLE / n_lines <= 0.5 AND bullets::DOUBLE / n_lines <= 0.9 AND dots::DOUBLE / n_lines <= 0.3 AS kept, n_lines, n_stop_words
 FROM b"""
 

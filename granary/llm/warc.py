@@ -2,8 +2,13 @@
 
 Reading plans one partition per archive file. A record's header block is parsed first; record types, header
 equality, prefixes and the like are judged on it, from filters that Spark pushes down, and the payload of a
-record that fails is passed over: by a seek in plain files, without decoding in compressed ones. With the
-option payload=false no payload is decoded at all.
+record that fails is passed over: by a seek in plain files, and in compressed ones whose members tell their length in the
+extra field "sl", as those written here do; other members are inflated piece by piece and dropped. With the option
+payload=false no payload is decoded at all; with payload=check each is decoded and its length and digest are told, but it
+is not handed on. Where a payload was decoded, payload_bytes and payload_digest are its own, else those of the headers.
+
+What cannot be read, a header block without a proper Content-Length or a broken or cut off file, ends that file with one row of
+the type "malformed", whose headers tell the file and the error; records before it are read.
 
 Writing deals the rows of each task into files of their own, named after the task attempt. The commit renames
 those of the attempts that succeeded and removes the rest, so lost executors leave nothing half written.
@@ -16,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -60,6 +66,8 @@ HEADER_OF = {
 
 FILE_BYTES = 1 << 30
 CHUNK = 1 << 20
+HEAD_BYTES = 1 << 24
+BATCH_BYTES = 8 << 20
 
 
 def filesystem(uri: str):
@@ -133,8 +141,7 @@ class WarcWriter(DataSourceArrowWriter):
                     out, size = store.open_output_stream(f"{root}/_temporary/{files[-1]}", compression=None), 0
                 record = build_record(page_id, uri, payload or b"", self.date, refers_to)
                 if self.gzip:
-                    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    record = packer.compress(record) + packer.flush()
+                    record = pack_member(record)
                 out.write(record)
                 size += len(record)
         if out:
@@ -197,27 +204,49 @@ def _can_judge(f) -> bool:
 
 
 class Bytes:
-    """A file's content, unpacked if it is compressed, with skip() that seeks where it can."""
+    """A file's content, unpacked if it is compressed, a bounded piece at a time, with skip() that seeks where it can."""
 
     def __init__(self, file, gzip: bool):
-        self.file, self.gzip, self.buffer, self.unpack, self.ended = file, gzip, bytearray(), None, False
+        self.file, self.gzip, self.buffer, self.ended = file, gzip, bytearray(), False
+        # Of the compressed input: what is read ahead and where it stands; of the open member: its unpacker, end, length, and what it gave.
+        self.raw, self.offset, self.unpack, self.end, self.length, self.given = b"", 0, None, None, 0, 0
+
+    def _ahead(self, n: int) -> bool:
+        while len(self.raw) < n:
+            data = self.file.read(CHUNK)
+            if not data:
+                break
+            self.raw += data
+        return bool(self.raw)
+
+    def _open_member(self) -> None:
+        self.unpack, self.end, self.length, self.given = zlib.decompressobj(31), None, 0, 0
+        if self.raw[3:4] == b"\x04" and self.raw[12:16] == b"sl\x08\0":
+            size, self.length = struct.unpack("<II", self.raw[16:24])
+            self.end = self.offset + size
 
     def fill(self) -> bool:
         if self.ended:
             return False
-        data = self.file.read(CHUNK)
-        if not data:
-            self.ended = True
-            return False
         if not self.gzip:
+            data = self.file.read(CHUNK)
+            self.ended = not data
             self.buffer += data
-            return True
-        while data:
-            self.unpack = self.unpack or zlib.decompressobj(31)
-            self.buffer += self.unpack.decompress(data)
-            data = self.unpack.unused_data
-            if self.unpack.eof:
-                self.unpack = None
+            return bool(data)
+        if not self._ahead(24 if self.unpack is None else 1):
+            if self.unpack is not None:
+                raise EOFError("cut off inside a record")
+            self.ended = True
+            return False
+        if self.unpack is None:
+            self._open_member()
+        data, before = self.unpack.decompress(self.raw, 4 * CHUNK), len(self.raw)
+        self.raw = self.unpack.unused_data if self.unpack.eof else self.unpack.unconsumed_tail
+        self.offset += before - len(self.raw)
+        self.buffer += data
+        self.given += len(data)
+        if self.unpack.eof:
+            self.unpack = None
         return True
 
     def head(self) -> bytes | None:
@@ -229,12 +258,17 @@ class Bytes:
                 del self.buffer[: at + 4]
                 return out
             start = max(0, len(self.buffer) - 3)
+            if start > HEAD_BYTES:
+                raise ValueError("a header block without an end")
             if not self.fill():
+                if self.buffer.strip():
+                    raise EOFError("cut off inside a header block")
                 return None
 
     def take(self, n: int) -> bytes:
-        while len(self.buffer) < n and self.fill():
-            pass
+        while len(self.buffer) < n:
+            if not self.fill():
+                raise EOFError("cut off inside a record")
         out = bytes(self.buffer[:n])
         del self.buffer[:n]
         return out
@@ -247,10 +281,27 @@ class Bytes:
             if n and not self.gzip:
                 self.file.seek(self.file.tell() + n)
                 return
-            if n and not self.fill():
+            if n and self.unpack is not None and self.end is not None and n >= self.length - self.given:
+                n -= self.length - self.given
+                ahead = self.end - self.offset
+                if ahead > len(self.raw):
+                    self.file.seek(self.end)
+                self.raw, self.offset, self.unpack = self.raw[ahead:], self.end, None
+            elif n and not self.fill():
                 return
 
 
+def pack_member(record: bytes) -> bytes:
+    """A gzip member that tells its own and its content's length in the extra field "sl"."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = packer.compress(record) + packer.flush()
+    size = 24 + len(body) + 8
+    tail = struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+    if max(size, len(record)) >> 32:
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + tail
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size, len(record)) + body + tail
+
+
 def _fields(block: bytes) -> dict[str, str]:
     out = {}
     for line in block.decode("utf-8", "replace").split("\r\n")[1:]:
@@ -261,7 +312,9 @@ def _fields(block: bytes) -> dict[str, str]:
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.payload, self.filters = options["path"].rstrip("/"), options.get("payload", "true").lower() != "false", []
+        self.path, self.payload, self.filters = options["path"].rstrip("/"), options.get("payload", "true").lower(), []
+        if self.payload not in ("true", "false", "check"):
+            raise ValueError("payload is true, false or check")
 
     def pushFilters(self, filters):
         for f in filters:
@@ -285,28 +338,68 @@ class WarcReader(DataSourceReader):
         store, _ = filesystem(self.path)
         with store.open_input_file(partition.path) as file:
             data = Bytes(file, partition.path.endswith(".gz"))
-            while (head := data.head()) is not None:
-                headers = _fields(head.lstrip(b"\r\n"))
-                length = int(headers.get("content-length", 0))
-                if not all(_judge(f, headers) for f in self.filters):
-                    data.skip(length + 4)
-                    continue
-                yield self.row(headers, length, data)
-                data.skip(4)
+            try:
+                while (head := data.head()) is not None:
+                    headers = _fields(head.lstrip(b"\r\n"))
+                    length = _length(headers)
+                    if not all(_judge(f, headers) for f in self.filters):
+                        data.skip(length + 4)
+                        continue
+                    yield self.row(headers, length, data)
+                    data.skip(4)
+            except (ValueError, EOFError, zlib.error) as error:
+                told = {"warc-type": "malformed", "file": partition.path, "error": str(error)}
+                if all(_judge(f, told) for f in self.filters):
+                    yield (None, "malformed", None, None, None, None, None, None, told, None)
 
     def row(self, headers: dict[str, str], length: int, data: Bytes):
         left, size, payload = length, length, None
+        digest = (headers.get("warc-payload-digest") or "").removeprefix("sha1:") or None
         if headers.get("content-type", "").startswith("application/http"):
             before = data.head() or b""
             left -= len(before) + 4
-            size = int(_fields(before).get("content-length", left))
-        if self.payload and headers.get("warc-type") != "revisit":
+            size = _length(_fields(before), left)
+        if self.payload != "false" and headers.get("warc-type") != "revisit":
             payload = data.take(left)
+            size, digest = len(payload), base32_sha1(payload)
         else:
             data.skip(left)
-        digest = headers.get("warc-payload-digest")
         page_id = page_of(headers.get("warc-record-id"))
-        return (headers.get("warc-record-id"), headers.get("warc-type"), headers.get("warc-target-uri"), headers.get("warc-date"), digest and digest.removeprefix("sha1:"), size, headers.get("warc-refers-to"), page_id, headers, payload)
+        return (headers.get("warc-record-id"), headers.get("warc-type"), headers.get("warc-target-uri"), headers.get("warc-date"), digest, size, headers.get("warc-refers-to"), page_id, headers, payload if self.payload == "true" else None)
+
+
+def _length(headers: dict[str, str], default: int | None = None) -> int:
+    value = headers.get("content-length", default)
+    if value is None or not str(value).isdecimal():
+        raise ValueError(f"not a Content-Length: {value}")
+    return int(value)
+
+
+ARROW = pa.schema(
+    [(c, pa.string()) for c in ("record_id", "record_type", "target_uri", "date", "payload_digest")]
+    + [("payload_bytes", pa.int64()), ("refers_to", pa.string()), ("page_id", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())]
+)
+
+
+class BatchReader(WarcReader):
+    """The records as record batches of some megabytes."""
+
+    def read(self, partition: Archive):
+        rows, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
+            columns[8] = [list(h.items()) for h in columns[8]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
+
+        for row in super().read(partition):
+            rows.append(row)
+            size += 1000 + len(row[9] or b"")
+            if size >= BATCH_BYTES:
+                yield batch()
+                rows, size = [], 0
+        if rows:
+            yield batch()
 
 
 class WarcDataSource(DataSource):
@@ -320,7 +413,7 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(dict(self.options))
+        return BatchReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
         return WarcWriter(dict(self.options), overwrite)
@@ -370,8 +463,8 @@ def referred_page(urn):
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Writes a record per row of pages into the shared folder and reads the archives back, headers only."""
+    """Writes a record per row of pages into the shared folder and reads the archives back, each payload decoded and digested."""
     path = Scratch(spark).path("archive")
     write_warc(mark_revisits(spark, pages, min_bytes), path)
-    back = read_warc(spark, path, payload="false").where(F.col("record_type").isin("response", "revisit"))
+    back = read_warc(spark, path, payload="check").where(F.col("record_type").isin("response", "revisit"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", referred_page(F.col("refers_to")).alias("refers_to"))

@@ -215,3 +215,45 @@ def test_archives_of_others():
 def test_ids_in_urns():
     assert all(warc.page_of(warc.record_urn(x)) == x for x in (0, 7, 2**40 + 3, 2**62, -1, -(2**63)))
     assert warc.page_of(None) is None and warc.page_of("<urn:uuid:123e4567-e89b-12d3-a456-426614174000>") is None
+
+
+def records(path, **options):
+    reader = warc.WarcReader({"path": str(path), **options})
+    return [r for p in reader.partitions() for r in reader.read(p)]
+
+
+@pytest.mark.parametrize("gzip", [True, False])
+def test_malformed_archives_end_with_a_row(tmp_path, gzip):
+    pack = warc.pack_member if gzip else bytes
+    good = [pack(warc.build_record(k, "u", b"p" * 3000, "2000-01-01T00:00:00Z", None)) for k in range(3)]
+    bad = pack(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nx\r\n\r\n")
+    name = "a.warc" + ".gz" * gzip
+    for data in (b"".join(good) + bad, b"".join(good) + good[0][:-20], b"".join(good) + b"\x1f\x8b\x08 no such thing"):
+        (tmp_path / name).write_bytes(data)
+        got = records(tmp_path)
+        assert [r[7] for r in got[:3]] == [0, 1, 2] and [r[1] for r in got[3:]] == ["malformed"] and got[3][8]["error"]
+    (tmp_path / name).write_bytes(b"")
+    assert records(tmp_path) == []
+
+
+def test_a_damaged_payload_shows(tmp_path):
+    data = warc.build_record(1, "u", b"one payload", "2000-01-01T00:00:00Z", None)
+    (tmp_path / "a.warc").write_bytes(data.replace(b"one payload", b"two payload"))
+    for option, digest in (("check", b32(b"two payload")), ("false", b32(b"one payload"))):
+        assert records(tmp_path, payload=option)[0][4] == digest
+
+
+def test_unwanted_members_are_not_inflated(tmp_path):
+    """Members with their lengths are passed over by a seek, others piece by piece."""
+    import gzip
+    import tracemalloc
+
+    record = warc.build_record(1, "u", b"x" * 50_000_000, "2000-01-01T00:00:00Z", None)
+    small = warc.build_record(2, "u", b"y", "2000-01-01T00:00:00Z", None)
+    for pack in (warc.pack_member, gzip.compress):
+        (tmp_path / "a.warc.gz").write_bytes(b"".join(map(pack, (record, small, record, small))))
+        tracemalloc.start()
+        assert [r[7] for r in records(tmp_path, payload="false")] == [1, 2, 1, 2]
+        assert tracemalloc.get_traced_memory()[1] < 25e6
+        tracemalloc.stop()
+    assert gzip.decompress(warc.pack_member(small)) == small

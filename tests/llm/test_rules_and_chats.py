@@ -95,3 +95,20 @@ def test_chat_automaton_and_odd_rows(spark):
     assert got == {1: (True, None), 2: (False, 0), 3: (False, 1), 4: (False, 1), 5: (True, None), None: (False, 0)}
     assert format_chats(df.where("false")).count() == 0
     assert ChatTemplate().loss_roles == ("assistant",)
+
+
+def test_long_documents_stay(spark):
+    text = " ".join(f"the w{k}" for k in range(600_000))
+    got = judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.n_words == 1_200_000 and got.kept
+
+
+def test_chats_run_without_python(spark):
+    df = op6_chat_formatting(spark, DATA)
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString() and "PythonRDD" not in df._jdf.queryExecution().toRdd().toDebugString()
+
+
+def test_a_very_long_conversation(spark):
+    turns = spark.range(20_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('text <|', id) AS text")
+    row = format_chats(turns).select("valid", F.size(parse_chats(F.col("formatted"))).alias("n"), F.length(loss_text(F.col("segments"))).alias("l")).first()
+    assert row.valid and row.n == 20_000 and row.l == sum(len(f"text <|{k}") for k in range(1, 20_000, 2))
