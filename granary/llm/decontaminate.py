@@ -9,22 +9,33 @@ others. A hit is then verified on words: OVERLAP of the question's and of the an
 (the whole sequence as one if shorter) must stand in the passage. The answer is an item's last line, or its last
 sentence if it has one line, or nothing if it has one sentence; then the question is all of it.
 
-The index is a broadcast of at most SHARD_ITEMS items. More items are dealt into shards that each see the whole
-corpus. Words are compared with A-Z in lower case and without ASCII punctuation at their ends. Null or empty texts and items match nothing; repeated rows are
-judged alike; other columns are ignored; ids may repeat or be null.
+Statistics (number of items, their mean and greatest length, document frequencies) are those of all items and are computed in
+Spark; the index is a broadcast of at most SHARD_ITEMS items with the frequencies of their own terms. More items are
+dealt into shards by a hash, equal ones once. A shard sees each batch of the corpus in turn, so texts are read once and hits do
+not depend on the size of shards. Words are compared with A-Z in lower case and without ASCII punctuation at their ends.
+
+Null or empty texts and items match nothing; repeated documents are judged alike, repeated items are one; other columns are
+ignored; ids may repeat or be null; an empty table of either kind gives no hits. Very long texts are read whole, passage by
+passage. Of passages with equal scores for an item the first is told.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.llm.common import Scratch
+
 SHINGLE = 5
 OVERLAP = 0.75
 THRESHOLD = 0.5
@@ -75,17 +86,33 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return (words_of(" ".join(parts[:-1])), words_of(parts[-1])) if len(parts) > 1 else (words_of(text), [])
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items with words: how many, their mean and greatest number of words, and in how many each term is."""
+
+    items: int
+    mean: float
+    longest: int
+    frequencies: dict[bytes, int]
+
+
+def statistics_of(texts: Iterable[str | None]) -> Statistics:
+    found = [w for t in texts if (w := words_of(t))]
+    return Statistics(len(found), sum(map(len, found)) / max(1, len(found)), max(map(len, found), default=1), Counter(w for ws in found for w in set(ws)))
+
+
 class Index:
-    """Postings with impacts: a term's BM25 weight in an item over the item's own score."""
+    """Postings with impacts: a term's BM25 weight in an item over the item's own score. statistics: of all items, if these are a part of them."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]], statistics: Statistics | None = None):
+        told = statistics or statistics_of(t for _, t in items)
         found = [(i, t, w) for i, t in items if (w := words_of(t))]
         self.ids = [i for i, *_ in found]
         self.parts = [question_and_answer(t) for _, t, _ in found]
-        n, mean = len(found), sum(len(w) for *_, w in found) / max(1, len(found))
-        self.passage = 2 * max((len(w) for *_, w in found), default=1)
+        n, mean = len(found), told.mean
+        self.passage = 2 * told.longest
         df = Counter(w for *_, ws in found for w in set(ws))
-        idf = {w: np.log(1 + (n - c + 0.5) / (c + 0.5)) for w, c in df.items()}
+        idf = {w: np.log(1 + (told.items - c + 0.5) / (c + 0.5)) for w in df for c in (told.frequencies[w],)}
         self.terms = {w: k for k, w in enumerate(sorted(df))}
         self.lookup = Terms(self.terms)
         postings, essential, self.rest = defaultdict(list), defaultdict(list), np.zeros(n)
@@ -200,13 +227,42 @@ def overlap(part: list[bytes], passage: list[bytes]) -> float:
     return len(want & have) / len(want)
 
 
-def shards(items: DataFrame, id_col: str, text_col: str, shard_items: int):
-    """Index after index, each of about shard_items items at most."""
-    rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
-    n = -(-rows.count() // shard_items)
+def _item_words(batches):
+    for batch in batches:
+        words = [words_of(t) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_pydict({"n": pa.array(map(len, words), pa.int64()), "terms": pa.array([sorted(set(w)) for w in words], pa.list_(pa.binary()))})
+
+
+def shards(items: DataFrame, id_col: str, text_col: str, shard_items: int) -> list[Broadcast]:
+    """Broadcasts of (name, items, their statistics), each of about shard_items items at most; indexes are built where they are used."""
+    spark, scratch = items.sparkSession, Scratch(items.sparkSession)
+    rows = scratch.table(items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).distinct(), "items")
+    words = scratch.table(rows.select("text").mapInArrow(_item_words, "n long, terms array<binary>").where("n > 0"), "words")
+    number, total, longest = words.agg(F.count("*"), F.sum("n"), F.max("n")).first()
+    if not number:
+        return []
+    frequencies = words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n, out = -(-number // shard_items), []
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows
-        yield Index(sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+        own = part.select("text").mapInArrow(_item_words, "n long, terms array<binary>").select(F.explode("terms").alias("term")).distinct()
+        told = {bytes(r.term): r.df for r in frequencies.join(own, "term", "left_semi").collect()}
+        found = sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        out.append(spark.sparkContext.broadcast((uuid.uuid4().hex, found, Statistics(number, total / number, longest, told))))
+    scratch.drop("items", "words")
+    return out
+
+
+_built: dict[str, Index] = {}
+
+
+def _index(shard: Broadcast) -> Index:
+    """The index of a shard, built once a worker as long as no other is asked for."""
+    name, items, statistics = shard.value
+    if name not in _built:
+        _built.clear()
+        _built[name] = Index(items, statistics)
+    return _built[name]
 
 
 HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
@@ -215,30 +271,30 @@ HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.
 def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_items: int = SHARD_ITEMS) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, score, first_word of the passage, overlaps."""
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    out = spark.createDataFrame([], "doc_id long, item_id long, score double, first_word long, question_overlap double, answer_overlap double")
-    for index in shards(items, "item_id", "text", shard_items):
-        shared = spark.sparkContext.broadcast(index)
+    found = shards(items, "item_id", "text", shard_items)
 
-        def run(batches, shared=shared):
-            index = shared.value
-            for batch in batches:
-                found = [(d, index.ids[i], *rest) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, *rest in index.hits(t)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], HITS.field(k).type) for k in range(len(HITS))], schema=HITS)
+    def run(batches, found=found):
+        for batch in batches:
+            ids, texts = (c.to_pylist() for c in batch.columns)
+            for shard in found:
+                index = _index(shard)
+                hits = [(d, index.ids[i], *rest) for d, t in zip(ids, texts, strict=True) for i, *rest in index.hits(t)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in hits], HITS.field(k).type) for k in range(len(HITS))], schema=HITS)
 
-        out = out.union(rows.mapInArrow(run, out.schema))
-    return out
+    return rows.mapInArrow(run, "doc_id long, item_id long, score double, first_word long, question_overlap double, answer_overlap double")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, text_col: str = "text", shard_items: int = SHARD_ITEMS) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
-    for index in shards(items, "item_id", "text", shard_items):
-        shared = spark.sparkContext.broadcast(index)
-        place = docs.columns.index(text_col)
-
-        def run(batches, shared=shared, place=place):
-            for batch in batches:
-                clean = [not shared.value.hits(t) for t in batch.column(place).to_pylist()]
-                yield batch.filter(pa.array(clean, pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    found, place = shards(items, "item_id", "text", shard_items), docs.columns.index(text_col)
+
+    def run(batches, found=found, place=place):
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            clean = [True] * len(texts)
+            for shard in found:
+                index = _index(shard)
+                clean = [c and not index.hits(t) for c, t in zip(clean, texts, strict=True)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -55,11 +55,52 @@ class Model:
         return max(len(p) for p, *_ in self.pieces)
 
 
+#: The kinds of model by their number in the file.
+KINDS = {1: "unigram", 2: "bpe", 3: "word", 4: "char"}
+
+
+def kind_of(data: bytes) -> str:
+    """The kind that a .model file tells: field 3 of its second field, the trainer's settings; unigram if it tells none."""
+
+    def fields(part: bytes):
+        at = 0
+
+        def number() -> int:
+            nonlocal at
+            out = shift = 0
+            while True:
+                out |= (part[at] & 127) << shift
+                at, shift = at + 1, shift + 7
+                if part[at - 1] < 128:
+                    return out
+
+        while at < len(part):
+            key = number()
+            wire = key & 7
+            if wire == 0:
+                yield key >> 3, number()
+                continue
+            size = number() if wire == 2 else {1: 8, 5: 4}[wire]
+            yield key >> 3, part[at : at + size]
+            at += size
+
+    found = 1
+    for name, value in fields(data):
+        if name == 2:
+            found = dict(fields(value)).get(3, 1)
+    return KINDS[found]
+
+
 @cache
 def load(path: str) -> Model:
-    """The table of a .model file; only identity normalizers with a dummy prefix, as the library reports by example."""
+    """The table of a .model file; only BPE with an identity normalizer and a dummy prefix, as the library reports by example. Others are refused."""
     import sentencepiece
 
+    with open(path, "rb") as file:
+        kind = kind_of(file.read())
+    if kind != "bpe":
+        raise ValueError(f"only BPE models are supported, this one is of the kind {kind}")
+
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     for probe in ("a  b  ", "  a", "ﬁ Å", "Ａ\tb\r\n"):
         if sp.decode(sp.encode(probe)) != probe or sp.encode(probe, out_type=str)[0][:1] != META:
@@ -69,7 +110,7 @@ def load(path: str) -> Model:
     rows = [(sp.id_to_piece(i), i, sp.get_score(i)) for i in range(n) if not special(i)]
     order = {i: k for k, (_, i, _) in enumerate(sorted(rows, key=lambda r: (-r[2], r[1])))}
     byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-    return Model("bpe", tuple((p, i, order[i]) for p, i, _ in rows), tuple(byte_ids) if sp.is_byte(byte_ids[0]) else (), sp.unk_id(), n)
+    return Model(kind, tuple((p, i, order[i]) for p, i, _ in rows), tuple(byte_ids) if sp.is_byte(byte_ids[0]) else (), sp.unk_id(), n)
 
 
 @cache

@@ -475,6 +475,45 @@ def test_leaks_against_brute_force(spark, shard):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {r.doc_id for r in docs.collect()} - {d for d, _ in want}
 
 
+def test_shards_do_not_change_hits(spark):
+    """Scores, passages and overlaps row by row, with repeated items among them."""
+    docs, items = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
+    items = items.union(items.limit(5))
+    rounded = lambda size: sorted((r.doc_id, r.item_id, round(r.score, 9), r.first_word, r.question_overlap, r.answer_overlap) for r in D.find_leaks(spark, docs, items, shard_items=size).collect())
+    assert rounded(50_000) == rounded(7) == rounded(1)
+
+
+def leaks_of_windows(texts, items):
+    """With own words, parts and windows: (doc, item) where some stretch of a text as long as the longest item has both parts."""
+    strip = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    words = lambda t: [w for x in t.encode().lower().split() if (w := x.strip(strip.encode()))]
+    grams = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    parts = {}
+    for i, t in items:
+        cut = [x for x in (t or "").split("\n") if x.strip()]
+        if len(cut) < 2:
+            import re
+
+            cut = re.split(r"(?<=[.!?])\s+", (t or "").strip())
+        parts[i] = [words(" ".join(cut[:-1])), words(cut[-1])] if len(cut) > 1 else [words(t or "")]
+    longest = max(sum(map(len, p)) for p in parts.values())
+    out = set()
+    for d, t in texts:
+        w = words(t or "")
+        for i, ps in parts.items():
+            for k in range(0, max(1, len(w) - longest + 1), max(1, longest // 4)):
+                window = w[k : k + longest + longest // 4]
+                if all(p for p in ps) and all(len(grams(p, min(5, len(p))) & grams(window, min(5, len(p)))) >= 0.75 * len(grams(p, min(5, len(p)))) for p in ps):
+                    out.add((d, i))
+    return out
+
+
+def test_leaks_against_own_windows(spark):
+    docs, items = ([tuple(r) for r in spark.read.parquet(f"{DATA}/{t}.parquet").select(c, "text").collect()] for t, c in (("documents", "doc_id"), ("benchmark", "item_id")))
+    got = {(r.doc_id, r.item_id) for r in op9_benchmark_decontamination(spark, DATA).collect()}
+    assert got >= leaks_of_windows(docs, items) and got
+
+
 def test_wand_finds_all_above_the_threshold():
     rng = random.Random(2)
     vocabulary = [f"t{k}" for k in range(60)]

@@ -120,3 +120,15 @@ def test_viterbi_fold_against_all_paths(spark):
 @given(st.lists(st.integers(0, 2**29 - 1)))
 def test_packing(numbers):
     assert blocks.unpack(blocks.pack(np.array(numbers, np.int64))).tolist() == numbers
+
+
+def test_kinds_of_models(tmp_path):
+    with open(MODEL, "rb") as file:
+        data = file.read()
+    assert pieces.kind_of(data) == "bpe"
+    # A later field overrides an earlier one, so these are models of other kinds.
+    for number, kind in ((1, "unigram"), (3, "word")):
+        assert pieces.kind_of(data + bytes([0x12, 2, 0x18, number])) == kind
+        (tmp_path / kind).write_bytes(data + bytes([0x12, 2, 0x18, number]))
+        with pytest.raises(ValueError, match="kind"):
+            pieces.load(str(tmp_path / kind))
