@@ -1,7 +1,7 @@
 """Marked-up books: headings and paragraphs to nested verses and prose, and from there to chunks.
 
 Books are small and independent, so each is parsed where it is read: the markup is turned into elements with regular
-expressions, the nesting is built by windows over the elements of one book.
+expressions, running counts over the elements tell the part and subheading each belongs to, and groups of them are fields.
 """
 
 from __future__ import annotations
@@ -61,75 +61,72 @@ def html_elements(html: Column) -> Column:
     return F.transform(found, lambda x: F.struct(tag(x).alias("tag"), text(x).alias("text")))
 
 
-def _section_map(parts: list[tuple[str, str]]) -> dict[str, list[str]]:
-    sections: dict[str, list[str]] = {}
-    now = None
-    for tag, text in parts:
-        if tag == "h3":
-            now = clean(text)
-            if now not in SECTIONS and not re.match(PAGE_HEADING, now):
-                raise ValueError(f"Invalid section heading: {now}")
-            sections[now] = []
-        elif now is not None and tag in ("p", "ul", "ol", "blockquote") and clean(text):
-            sections[now].append(clean(text))
-    return sections
+#: Elements that hold the text of a verse's section.
+TEXTUAL = ("p", "ul", "ol", "blockquote")
 
 
-def _page_of(names) -> int | None:
-    return next((int(m[1]) for n in names if (m := re.match(PAGE_HEADING, n))), None)
+def outline(markdown: str) -> pd.DataFrame:
+    """The elements of a book with where each stands: part (by headings of level 1 and 2), sub (by those of level 3 in it, 0 before the first), adhikar."""
+    rows = pd.DataFrame([(t, clean(x)) for t, x in elements(markdown)], columns=["tag", "text"])
+    rows["part"] = rows.tag.isin(["h1", "h2"]).cumsum()
+    rows["sub"] = rows.tag.eq("h3").groupby(rows.part).cumsum().astype(int)
+    rows["adhikar"] = rows.text.where(rows.tag.eq("h1")).ffill()
+    return rows
+
+
+def _page(title: str) -> int | None:
+    found = re.match(PAGE_HEADING, title)
+    return int(found[1]) if found else None
+
+
+def _texts(rows: pd.DataFrame, tags: tuple[str, ...]) -> list[str]:
+    return rows.text[rows.tag.isin(tags) & rows.text.ne("")].tolist()
+
+
+def _verse(found: re.Match, rows: pd.DataFrame) -> dict:
+    fields: dict[str, list[str]] = {}
+    for _, sub in rows[rows["sub"] > 0].groupby("sub"):
+        name = sub.text.iloc[0]
+        if name not in SECTIONS and _page(name) is None:
+            raise ValueError(f"{name!r} is no section of a verse")
+        fields[name] = _texts(sub, TEXTUAL)
+    pages = [p for name in fields if (p := _page(name)) is not None]
+    one = lambda name: clean("\n".join(fields.get(name, [])))
+    first = int(found[2])
+    return {
+        "verse": clean("\n".join(_texts(rows[rows["sub"] == 0], ("p",)))), "type": found[1].capitalize(), "type_start_num": first, "type_end_num": int(found[3] or first),
+        "translation": one("Translation"), "language": "Hindi", "meaning": one("Meaning"), "teeka": fields.get("Teeka", []), "bhavarth": fields.get("Bhavarth", []), "page_num": pages[0] if pages else None,
+    }
+
+
+def _prose(title: str, rows: pd.DataFrame, adhikar: str | None) -> dict | None:
+    heads = rows[rows.tag.eq("h3")].set_index("sub").text
+    pages = heads.map(_page).dropna()
+    # What stands below a page's number belongs to the section itself.
+    own = rows["sub"].eq(0) | rows["sub"].isin(pages.index)
+    subs = [{"heading": heads[k], "content": texts, "page_num": None, "adhikar": adhikar} for k, sub in rows[~own].groupby("sub") if (texts := _texts(sub, ("p",)))]
+    content = _texts(rows[own], ("p",))
+    return {"heading": title, "content": content, "subsections": subs, "page_num": int(pages.iloc[-1]) if len(pages) else None} if content or subs else None
 
 
 def parse_book(markdown: str) -> dict:
     """Verses and prose sections under one shared numbering; a heading of level 1 counts for all that follows."""
-    parts = elements(markdown)
-    heads = [k for k, (t, _) in enumerate(parts) if t in ("h1", "h2")]
-    verses, prose, seq, adhikar = [], [], 1, None
-    for k, end in zip(heads, [*heads[1:], len(parts)], strict=True):
-        tag, title = parts[k][0], clean(parts[k][1])
-        body = parts[k + 1 : end]
-        if tag == "h1":
-            adhikar = title
-            continue
-        verse = re.match(VERSE, title)
-        if verse:
-            lead = []
-            for t, x in body:
-                if t == "h3":
-                    break
-                if t == "p" and clean(x):
-                    lead.append(clean(x))
-            found = _section_map(body)
-            first = int(verse[2])
-            verses.append(
-                {
-                    "seq_num": seq, "verse": clean("\n".join(lead)), "type": verse[1].capitalize(), "type_start_num": first, "type_end_num": int(verse[3] or first),
-                    "translation": clean("\n".join(found.get("Translation", []))), "language": "Hindi", "meaning": clean("\n".join(found.get("Meaning", []))),
-                    "teeka": found.get("Teeka", []), "bhavarth": found.get("Bhavarth", []), "page_num": _page_of(found), "adhikar": adhikar,
-                }
-            )
-            seq += 1
+    book: dict[str, list[dict]] = {"verses": [], "prose_sections": []}
+    seq = 1
+    for part, rows in outline(markdown).groupby("part"):
+        if part == 0 or rows.tag.iloc[0] == "h1":
             continue
-        content: list[str] = []
-        subs: list[dict] = []
-        page, now = None, None
-        for t, x in body:
-            if t == "h3":
-                title3 = clean(x)
-                at = re.match(PAGE_HEADING, title3)
-                page = int(at[1]) if at else page
-                now = None if at else {"heading": title3, "content": [], "page_num": None, "adhikar": adhikar}
-                if now is not None:
-                    subs.append(now)
-            elif t == "p" and clean(x):
-                (content if now is None else now["content"]).append(clean(x))
-        subs = [s for s in subs if s["content"]]
-        if not content and not subs:
+        title, adhikar = rows.text.iloc[0], rows.adhikar.iloc[0]
+        adhikar = None if pd.isna(adhikar) else adhikar
+        found = re.match(VERSE, title)
+        one = _verse(found, rows.iloc[1:]) if found else _prose(title, rows.iloc[1:], adhikar)
+        if one is None:
             continue
-        for n, s in enumerate(subs):
-            s["seq_num"] = seq + 1 + n
-        prose.append({"seq_num": seq, "heading": title, "content": content, "subsections": subs, "page_num": page, "adhikar": adhikar})
-        seq += 1 + len(subs)
-    return {"verses": verses, "prose_sections": prose}
+        book["verses" if found else "prose_sections"].append(one | {"seq_num": seq, "adhikar": adhikar})
+        for place, sub in enumerate(one.get("subsections", ()), seq + 1):
+            sub["seq_num"] = place
+        seq += 1 + len(one.get("subsections", ()))
+    return book
 
 
 def parse_books(markdown) -> Column:

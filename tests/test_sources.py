@@ -88,6 +88,62 @@ def test_typed_merging():
     assert paragraphs.merge_typed(items, ("।",)) == [("PROSE", "a", 1), ("QA", "q\nr b।", 1), ("VERSE", "v\nw", 2), ("PROSE", "c d।", 3)]
 
 
+def test_dialogue_plan_equals_the_grammar(spark):
+    """Random items against the rule, word for word: a block, then answers, each with the opener right after it."""
+    import random
+
+    rng, rows, want = random.Random(4), [], []
+    stops, answers = ["Q:", "A:"], ["A:"]
+    for d in range(40):
+        items = [(f"{rng.choice(['Q:', 'A:', 'T '])}{k}", k // 3) for k in range(rng.randrange(1, 25))]
+        rows += [(str(d), p, k, t) for k, (t, p) in enumerate(items)]
+        queue, n = list(items), 0
+        while queue:
+            block = [queue.pop(0)]
+            if block[0][0].startswith(tuple(stops)):
+                while queue and queue[0][0].startswith("A:"):
+                    block.append(queue.pop(0))
+                    block += [queue.pop(0)] if queue and queue[0][0].startswith(tuple(stops)) else []
+            want.append((str(d), block[0][1], n, "PROSE" if block[0][0].startswith("T") else "QA", "\n".join(t for t, _ in block)))
+            n += 1
+        assert [t for t, _ in paragraphs.merge_dialogue(items, tuple(stops), tuple(answers))] == [w[4] for w in want if w[0] == str(d)]
+    frame = spark.createDataFrame(rows, "document_id string, page int, position int, text string")
+    got = paragraphs.dialogue_blocks(frame, stops=stops, answers=answers)
+    assert sorted(map(tuple, got.select("document_id", "page", "position", "type", "text").collect())) == sorted(want)
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_typed_plan_equals_the_rule(spark):
+    import random
+
+    rng, rows, want = random.Random(5), [], []
+    for d in range(40):
+        items = [(rng.choice(["PROSE", "PROSE", "QA", "VERSE"]), f"t{k}{rng.choice(['', '', '।'])}", k // 4) for k in range(rng.randrange(1, 25))]
+        rows += [(str(d), p, k, t, x) for k, (t, x, p) in enumerate(items)]
+        found = paragraphs.merge_typed(items, ("।",))
+        want += [(str(d), p, n, t, x) for n, (t, x, p) in enumerate(found)]
+        runs = []
+        for t, x, _ in items:
+            if runs and t != "PROSE" and runs[-1][0] == t:
+                runs[-1][1].append(x)
+            else:
+                runs.append((t, [x]))
+        texts, open_ = [], None
+        for t, xs in runs:
+            x = "\n".join(xs)
+            if open_ and (t == "PROSE" or t == open_ == "QA"):
+                texts[-1] += " " + x
+            else:
+                texts.append(x)
+                open_ = t
+            open_ = None if t == "VERSE" or x.endswith("।") else open_
+        assert [x for _, x, _ in found] == texts
+    frame = spark.createDataFrame(rows, "document_id string, page int, position int, type string, text string")
+    got = paragraphs.document_paragraphs(frame, "hi")
+    assert sorted(map(tuple, got.select("document_id", "page", "position", "type", "text").collect())) == sorted(want)
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_incremental_ingestion(spark, tmp_path):
     src, seen = tmp_path / "in", []
     spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "1")], "document_id string, checksum string").write.parquet(str(src))
