@@ -1,6 +1,8 @@
 """A corpus pipeline: documents in, token ids of clean and distinct documents out.
 
-Each stage is written as Parquet to the shared folder and reread as the next one's documents.
+Each stage is written as Parquet to the shared folder and reread as the next one's documents. Stages keep columns of any
+name but take doc_id and text. Null and empty texts go with the first stage; an empty table stays empty; repeated rows, ties and
+very long texts are treated as each operator says: no stage drops a text for its length or reads a part of it.
 """
 
 from __future__ import annotations

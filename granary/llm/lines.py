@@ -56,9 +56,9 @@ _DIGIT = re.compile(rb"[0-9]").search
 _P = np.uint64(0x9E3779B97F4A7C15)
 _VARIABLE = np.uint64(0x5851F42D4C957F2D)
 _RNG = np.random.Generator(np.random.PCG64(4711))
-_A = _RNG.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, SKETCHES, dtype=np.uint64)
-_MOST = np.uint64(0xFFFFFFFF)
+_A = _RNG.integers(0, 1 << 31, SKETCHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _RNG.integers(0, 1 << 32, SKETCHES, dtype=np.uint32)
+_MOST = np.uint32(0xFFFFFFFF)
 
 
 class TokenHashes(WordHashes):
@@ -75,23 +75,24 @@ class TokenHashes(WordHashes):
 
 def sketches(tokens: np.ndarray, start: np.ndarray, sizes: np.ndarray, line: np.ndarray) -> np.ndarray:
     """Per line the SKETCHES minima of the shingles of the text's other lines, 32 bits each; equal lines are one line."""
-    wide = np.minimum(sizes, SHINGLE)
-    count = sizes - wide + 1
-    owner = np.repeat(np.arange(len(sizes)), count)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + start[owner]
-    width = wide[owner]
-    value = width.astype(np.uint64)
-    for k in range(SHINGLE):
-        more = k < width
-        value = np.where(more, value * _P + tokens[np.minimum(at + k, len(tokens) - 1)], value)
-    value, first = mix(value), np.cumsum(count) - count
-    kind = np.unique(line, return_inverse=True)[1]
-    out = np.empty((len(sizes), SKETCHES), np.uint64)
+    n = max(1, len(tokens) - SHINGLE + 1)
+    runs = tokens[:n].copy()
+    for k in range(1, min(SHINGLE, len(tokens))):
+        runs *= _P
+        runs += tokens[k : k + n]
+    # Shingles lie in one line; a line with fewer tokens is one of its own, told by its hash.
+    count = np.maximum(sizes - SHINGLE + 1, 1)
+    first = np.cumsum(count) - count
+    value = runs[np.minimum(np.arange(int(count.sum())) + np.repeat(start - first, count), n - 1)]
+    few = sizes < SHINGLE
+    value[first[few]] = line[few]
+    value = (mix(value) >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(sizes), SKETCHES), np.uint32)
     step = max(1, min(SKETCHES, 1_000_000 // len(value)))
     for k in range(0, SKETCHES, step):
-        h = (value * _A[k : k + step, None] + _B[k : k + step, None]) >> np.uint64(32)
+        h = (value ^ _B[k : k + step, None]) * _A[k : k + step, None]
         least = np.minimum.reduceat(h, first, axis=1)
-        own = kind == kind[least.argmin(axis=1)][:, None]
+        own = line == line[least.argmin(axis=1)][:, None]
         out[:, k : k + step] = np.where(own, np.where(own, _MOST, least).min(axis=1)[:, None], least.min(axis=1)[:, None]).T
     return out
 
@@ -105,7 +106,7 @@ def parse(text: str | None, known: TokenHashes) -> tuple[np.ndarray, ...]:
     n = int(sizes.sum())
     if not n:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none.view(np.uint64), np.zeros((0, SKETCHES), np.uint64)
+        return none, none, none, none, none.view(np.uint64), np.zeros((0, SKETCHES), np.uint32)
     tokens = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.uint64, n)
     start = np.cumsum(sizes) - sizes
     leaf = sizes.astype(np.uint64)
@@ -128,7 +129,7 @@ def _lines(batches):
         for doc, copy, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             number, leaf, line, sizes, tokens, sketch = parse(text, known)
             n = len(sizes)
-            found.append((np.full(n, doc), np.full(n, copy), number, leaf, line, sketch.astype(np.uint32).view(np.int32).ravel(), sizes, tokens.view(np.int64)))
+            found.append((np.full(n, doc), np.full(n, copy), number, leaf, line, sketch.view(np.int32).ravel(), sizes, tokens.view(np.int64)))
         *columns, sketch, sizes, tokens = (np.concatenate(c) for c in zip(*found, strict=True))
         lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat)) for n, flat in ((np.full(len(sizes), SKETCHES), sketch), (sizes, tokens))]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)] + lists, names=["doc", "copy", "number", "leaf", "line", "sketch", "tokens"])
