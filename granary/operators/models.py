@@ -49,6 +49,10 @@ def token_overlap(query: str, texts: list[str]) -> list[float]:
     return [len(wanted & set((t or "").lower().split())) / len(wanted) if wanted else 0.0 for t in texts]
 
 
+def seen_by_reranker(text: Column, chars: int = RERANK_CHARS) -> Column:
+    return F.substring(text, 1, chars)
+
+
 def rerank_score(text: Column, query: str, model: Callable[[str, list[str]], list[float]] = token_overlap, chars: int = RERANK_CHARS) -> Column:
     """Scores of texts cut to what the model sees. Put it above the limit of the first retrieval."""
 
@@ -56,7 +60,7 @@ def rerank_score(text: Column, query: str, model: Callable[[str, list[str]], lis
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(model(query, texts.fillna("").tolist()), dtype="float64")
 
-    return run(F.substring(text, 1, chars))
+    return run(seen_by_reranker(text, chars))
 
 
 def regex_reader(titles: list[tuple[int, str]]) -> list[dict]:

@@ -73,10 +73,18 @@ def merge_sentences(rows: DataFrame, key: str, order: list[str], text: str, page
     return grouped.select(key, "island", F.array_join(F.transform("__r", lambda r: r["__t"]), " ").alias(text), F.col("__r")[0]["__p"].alias(page))
 
 
-def evict_oldest(entries: DataFrame, size: str, used: str, needed: int) -> DataFrame:
-    """The entries to drop, longest unused first, until enough is freed. One user's cache, so one window."""
-    w = W.orderBy(used)
-    return entries.withColumn("__before", F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col(size)).where(F.col("__before") < needed).drop("__before")
+def evict_oldest(entries: DataFrame, size: str, used: str, needed: int, era: Column) -> DataFrame:
+    """The entries to drop, longest unused first, until enough is freed.
+
+    era: a coarse step of `used` that never falls as it grows, such as a day. Sums of eras tell what lies before each,
+    so that only the entries of one era are put in order together.
+    """
+    rows = entries.withColumn("__era", era)
+    sums = rows.groupBy("__era").agg(F.sum(size).alias("__sum"))
+    earlier = F.coalesce(F.sum("__sum").over(W.orderBy("__era").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per era
+    reached = sums.select("__era", earlier.alias("__earlier")).where(F.col("__earlier") < needed)
+    within = F.sum(size).over(W.partitionBy("__era").orderBy(used).rowsBetween(W.unboundedPreceding, 0)) - F.col(size)
+    return rows.join(reached, "__era").withColumn("__before", F.col("__earlier") + within).where(F.col("__before") < needed).select(*entries.columns)
 
 
 def sequence_starts(rows: DataFrame, key: str, order: list[str], width: Column, name: str = "seq_num") -> DataFrame:

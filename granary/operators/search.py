@@ -136,6 +136,11 @@ def highlight(text: Column, terms: list[str]) -> Column:
     return F.when(text.rlike(pattern), F.regexp_replace(text, pattern, "<em>$1</em>")).otherwise(F.lit(""))
 
 
+def snippet(text: Column, terms: list[str] | None) -> Column:
+    """What a result shows: marked terms for a lexical hit, empty without one; the whole text for a vector hit (no terms)."""
+    return text if terms is None else highlight(text, terms)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Null if either side has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -160,16 +165,26 @@ def similar(rows: DataFrame, id_col: str, vector_col: str, item, k: int = 10) ->
     return scored.where(F.col("score").isNotNull()).orderBy(F.desc("score"), id_col).limit(k)
 
 
+def best_per_key(side: DataFrame, keys: list[str], value: str = "score", name: str = "score") -> DataFrame:
+    return side.groupBy(*keys).agg(F.max(value).alias(name))
+
+
+def max_normalised(rows: DataFrame, value: str) -> DataFrame:
+    """value over the greatest one of all rows; 0 where that is not above 0."""
+    top = rows.agg(F.max(value).alias("__top"))
+    share = F.when(F.col("__top") > 0, F.col(value) / F.col("__top")).otherwise(F.lit(0.0))
+    return rows.join(F.broadcast(top), F.lit(True)).withColumn(value, share).drop("__top")  # one row
+
+
+def weighted(lexical: Column, vector: Column, weights: tuple[float, float] = (0.6, 0.4)) -> Column:
+    return weights[0] * lexical + weights[1] * vector
+
+
 def fuse(lexical: DataFrame, vector: DataFrame, keys: list[str], weights: tuple[float, float] = (0.6, 0.4)) -> DataFrame:
     """Both sides' best score per key over the side's best score, weighted and added; keys of one side count with 0 on the other."""
-    sides = []
-    for name, side in (("lexical", lexical), ("vector", vector)):
-        best = side.groupBy(*keys).agg(F.max("score").alias(name))
-        top = best.agg(F.max(name).alias("top"))
-        scaled = best.join(F.broadcast(top), F.lit(True)).withColumn(name, F.when(F.col("top") > 0, F.col(name) / F.col("top")).otherwise(F.lit(0.0))).drop("top")
-        sides.append(scaled)
+    sides = [max_normalised(best_per_key(side, keys, "score", name), name) for name, side in (("lexical", lexical), ("vector", vector))]
     both = sides[0].join(sides[1], keys, "full_outer").na.fill(0.0, ["lexical", "vector"])
-    return both.withColumn("score", weights[0] * F.col("lexical") + weights[1] * F.col("vector"))
+    return both.withColumn("score", weighted(F.col("lexical"), F.col("vector"), weights))
 
 
 def fuse_ranks(lexical: DataFrame, vector: DataFrame, key: str, k: int = 60) -> DataFrame:

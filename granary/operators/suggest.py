@@ -9,17 +9,36 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Words up to this length are joined by what is left after deletions.
+SHORT = 24
+
+
+def shortened(word: Column, deletions: int) -> Column:
+    """Hashes of what is left of a word without up to so many of its characters, the first always kept."""
+    drop = lambda w: F.transform(F.sequence(F.lit(2), F.greatest(F.length(w), F.lit(2))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    rests = step = F.array(word)
+    for _ in range(deletions):
+        step = F.array_distinct(F.flatten(F.transform(step, drop)))
+        rests = F.array_union(rests, step)
+    return F.transform(rests, lambda r: F.xxhash64(r))
+
+
 def similar_words(words: DataFrame, vocabulary: DataFrame, distance: int = 2, min_length: int = 3, n: int = 3, min_score: float = 0.6) -> DataFrame:
     """(word, rank, option, score): vocabulary within an edit distance that shares the first character.
 
-    words: word; vocabulary: token, df. Joined by the first character, pruned by length. Words of the vocabulary get
-    no options. score is 1 - distance / shorter length; ties go to the more frequent, then to the smaller option.
+    words: word; vocabulary: token, df. Two words that near have a common rest after as many deletions in each, so
+    words are joined by their rests; those beyond SHORT characters, whose rests are many, by the first character
+    among equally long tokens. Words of the vocabulary get no options. score is 1 - distance / shorter length; ties go to the more frequent, then to the smaller option.
     """
-    left = words.select("word").distinct().where(F.length("word") >= min_length).withColumn("head", F.substring("word", 1, 1))
+    left = words.select("word").distinct().where(F.length("word") >= min_length)
     unknown = left.join(vocabulary.select(F.col("token").alias("word")), "word", "left_anti")
-    right = vocabulary.select("token", "df", F.substring("token", 1, 1).alias("head"))
-    pairs = unknown.join(right, "head").where(F.abs(F.length("word") - F.length("token")) <= distance)
-    close = pairs.withColumn("d", F.levenshtein("word", "token", distance)).where(F.col("d").between(1, distance))
+    right = vocabulary.select("token", "df")
+    short = lambda c: F.length(c) <= SHORT
+    keys = lambda rows, c: rows.where(F.length(c) <= SHORT + distance).withColumn("key", F.explode(shortened(F.col(c), distance)))
+    near = keys(unknown.where(short("word")), "word").join(keys(right, "token"), "key").drop("key")
+    rest = unknown.where(~short("word")).withColumn("head", F.substring("word", 1, 1)).join(right.where(F.length("token") > SHORT - distance).withColumn("head", F.substring("token", 1, 1)), "head")
+    pairs = near.unionByName(rest.drop("head")).where(F.abs(F.length("word") - F.length("token")) <= distance)
+    close = pairs.withColumn("d", F.levenshtein("word", "token", distance)).where(F.col("d").between(1, distance)).distinct()
     scored = close.withColumn("score", 1 - F.col("d") / F.least(F.length("word"), F.length("token"))).where(F.col("score") >= min_score)
     rank = F.row_number().over(W.partitionBy("word").orderBy(F.desc("score"), F.desc("df"), "token"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= n).select("word", "rank", F.col("token").alias("option"), "score")

@@ -186,10 +186,11 @@ def p4(spark, sf):
 # Models
 
 
-@C.query("v1_embedding", "SELECT doc_id, 64 AS dims FROM documents WHERE lang = 'de'")
+@C.query("v1_embedding", "SELECT doc_id, 64 AS dims, trim(text) <> '' AS unit FROM documents")
 def v1(spark, sf):
-    rows = table(spark, sf, "documents").where("lang = 'de'").select("doc_id", "text")
-    return rows.select("doc_id", F.size(models.embed()("text")).alias("dims"))
+    rows = table(spark, sf, "documents").select("doc_id", models.embed()("text").alias("v"))
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    return rows.select("doc_id", F.size("v").alias("dims"), F.abs(square - 1).__lt__(1e-5).alias("unit"))
 
 
 @C.query("v2_rerank", "WITH h AS (SELECT doc_id, regexp_split_to_array(lower(trim(substr(text, 1, 1000))), '\\s+') AS w FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25) SELECT doc_id, round((list_contains(w, 'the')::INTEGER + list_contains(w, 'of')::INTEGER) / 2.0::DOUBLE, 6) AS score FROM h")
@@ -220,5 +221,5 @@ def a17(spark, sf):
     """Changed lines between two versions of a text."""
     from granary.operators.state import line_differences
 
-    docs = table(spark, sf, "documents").where("lang = 'es'").select("doc_id", "text")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     return docs.select("doc_id", line_differences("text", F.replace("text", F.lit(" la "), F.lit(" LA "))).alias("n_changed"))

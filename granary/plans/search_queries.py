@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from granary.functions import scalars, textnorm
-from granary.operators import search
+from granary.operators import index, models, search
 from granary.plans.base import Catalog, table, values
+from granary.session import shared_dir
 
 C = Catalog()
 
+_built: dict[tuple[str, str], str] = {}
+
+
+def indexed(spark, sf) -> index.Index:
+    """The index of the documents, written at first use by an application and read from then on; files are taken not to change under it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _built:
+        path = f"{shared_dir(spark)}/granary-index-{uuid.uuid4().hex}"
+        index.write(table(spark, sf, "documents"), "doc_id", "text", path)
+        _built[key] = path
+    return index.read(spark, _built[key])
+
+
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')"
 DOCS = f"(SELECT doc_id, lang, source, {TOKENS} AS w FROM documents)"
 
@@ -28,15 +44,26 @@ SELECT doc_id, lang, source, {part} AS score FROM t, s WHERE {every} AND {where}
 TOP = "SELECT doc_id, lang, source, round(score, 6) AS score FROM ({}) ORDER BY score DESC, doc_id LIMIT {}"
 
 
-@C.query("flagship_search", TOP.format(bm25_sql(["the", "that"], "lang = 'en' AND NOT list_contains(w, 'idiot')"), 10).replace("SELECT doc_id, lang, source, round", "SELECT doc_id, lang, source, round"))
+@C.query("flagship_search", TOP.format(bm25_sql(["the", "that"], "lang = 'en' AND NOT list_contains(w, 'idiot')"), 10))
 def flagship(spark, sf):
-    """AND match, exclusion, category filter, BM25 and top 10 in one plan."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
-    found = search.in_categories(search.exclude(docs, "text", ["idiot"]), {"lang": ["en"]})
-    hits = search.score(docs, "doc_id", "text", ["the", "that"], found)
+    """AND match, exclusion, category filter, BM25 and top 10, without reading a text."""
+    own = indexed(spark, sf)
+    docs = search.in_categories(table(spark, sf, "documents").select("doc_id", "lang", "source"), {"lang": ["en"]})
+    hits = index.without(index.score(own, ["the", "that"]), own, ["idiot"]).withColumnRenamed("id", "doc_id").join(docs, "doc_id")
     return search.page(hits, 10, 1, F.desc("score"), F.col("doc_id")).select("doc_id", "lang", "source", F.round("score", 6).alias("score"))
 
 
+@C.query(
+    "search_index_build",
+    f"WITH p AS (SELECT doc_id, unnest(w) AS t FROM {DOCS}) SELECT (SELECT count(DISTINCT doc_id) FROM p) AS n, round((SELECT count(*) FROM p)::DOUBLE / (SELECT count(DISTINCT doc_id) FROM p), 6) AS avgdl, (SELECT count(DISTINCT t) FROM p) AS n_terms, (SELECT count(*) FROM (SELECT DISTINCT doc_id, t FROM p)) AS n_postings",
+)
+def build(spark, sf):
+    """Writes the index anew and counts what it holds."""
+    new = index.write(table(spark, sf, "documents"), "doc_id", "text", f"{shared_dir(spark)}/granary-index-{uuid.uuid4().hex}")
+    held = new.terms.agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
+    return new.stats.join(F.broadcast(held), F.lit(True)).select("n", F.round("avgdl", 6).alias("avgdl"), "n_terms", "n_postings")  # one row each
+
+
 @C.query("f1_match_all", f"SELECT doc_id FROM {DOCS} WHERE list_contains(w, 'the') AND list_contains(w, 'and') AND list_contains(w, 'of')")
 def f1(spark, sf):
     return search.match_all(table(spark, sf, "documents"), "text", "The and OF").select("doc_id")
@@ -52,7 +79,7 @@ def f2(spark, sf):
     f"WITH p AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM {DOCS}) SELECT a.doc_id AS id, count(*) AS hits FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.i = a.i + 1 WHERE a.t = 'of' AND b.t = 'the' GROUP BY ALL",
 )
 def f2b(spark, sf):
-    return search.phrase_by_positions(search.postings(table(spark, sf, "documents"), "doc_id", "text"), ["of", "the"])
+    return index.phrase(indexed(spark, sf), ["of", "the"])
 
 
 @C.query("f3_exclude", f"SELECT doc_id FROM {DOCS} WHERE NOT list_has_any(w, ['the', 'les', 'und'])")
@@ -165,37 +192,45 @@ def f19(spark, sf):
 
 @C.query("x17_bm25", "SELECT doc_id, round(score, 6) AS score FROM (" + bm25_sql(["the", "in"]) + ")")
 def x17(spark, sf):
+    return index.score(indexed(spark, sf), ["the", "in"]).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@C.query("x17_bm25_by_scan", "SELECT doc_id, round(score, 6) AS score FROM (" + bm25_sql(["the", "in"]) + ")")
+def x17c(spark, sf):
+    """The same without an index, for tables that have none."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return search.score(docs, "doc_id", "text", ["the", "in"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @C.query("x17_index_statistics", f"SELECT count(*) FILTER (len(w) > 0) AS n, round(sum(len(w))::DOUBLE / count(*) FILTER (len(w) > 0), 6) AS avgdl FROM {DOCS}")
 def x17b(spark, sf):
-    return search.statistics(table(spark, sf, "documents"), "text").select("n", F.round("avgdl", 6).alias("avgdl"))
+    return indexed(spark, sf).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @C.query("a10_document_frequency", f"SELECT t AS token, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(w) AS t FROM {DOCS}) GROUP BY t")
 def a10(spark, sf):
-    return search.postings(table(spark, sf, "documents"), "doc_id", "text").groupBy("token").agg(F.count("*").alias("df"))
+    return indexed(spark, sf).terms.select("token", "df")
 
 
 @C.query("j10_postings_join", f"SELECT doc_id AS id, count(DISTINCT t) AS n FROM (SELECT doc_id, unnest(w) AS t FROM {DOCS}) WHERE t IN ('the', 'and', 'of', 'is') GROUP BY doc_id HAVING count(DISTINCT t) = 4")
 def j10(spark, sf):
-    wanted = spark.createDataFrame([("the",), ("and",), ("of",), ("is",)], "token string")
-    found = search.postings(table(spark, sf, "documents"), "doc_id", "text").join(F.broadcast(wanted), "token")
+    found = index.lookup(indexed(spark, sf).postings, ["the", "and", "of", "is"])
     return found.groupBy("id").agg(F.count("*").alias("n")).where("n = 4")
 
 
-@C.query("x16_highlight", r"SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\bof\b') THEN regexp_replace(text, '(?i)\b(of)\b', '<em>\1</em>', 'g') ELSE '' END AS snippet FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\x00-\x7F]*$')")
+#: Words are framed first, so that the mark goes around whole words only.
+MARKED = r"""CASE WHEN list_contains(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+'), 'of') THEN regexp_replace(regexp_replace(regexp_replace(text, '([\p{L}\p{M}\p{N}]+)', chr(1) || '\1' || chr(2), 'g'), '(?i)\x01(of)\x02', '<em>\1</em>', 'g'), '[\x01\x02]', '', 'g') ELSE '' END"""
+
+
+@C.query("x16_highlight", f"SELECT doc_id, {MARKED} AS snippet FROM documents")
 def x16(spark, sf):
-    docs = table(spark, sf, "documents").where((F.col("lang") == "en") & F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return docs.select("doc_id", search.highlight(F.col("text"), ["of"]).alias("snippet"))
+    return table(spark, sf, "documents").select("doc_id", search.highlight(F.col("text"), ["of"]).alias("snippet"))
 
 
 @C.query("t1_relevance_page", "SELECT doc_id, lang, source, round(score, 6) AS score FROM (" + bm25_sql(["the"]) + ") ORDER BY score DESC, doc_id LIMIT 10 OFFSET 10")
 def t1(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
-    hits = search.score(docs, "doc_id", "text", ["the"])
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    hits = index.score(indexed(spark, sf), ["the"]).withColumnRenamed("id", "doc_id").join(docs, "doc_id")
     return search.page(hits, 10, 2, F.desc("score"), F.col("doc_id")).select("doc_id", "lang", "source", F.round("score", 6).alias("score"))
 
 
@@ -216,10 +251,11 @@ def p2(spark, sf):
     return table(spark, sf, "documents").select("doc_id", label.alias("label"))
 
 
-@C.query("p3_snippet", "SELECT doc_id, CASE WHEN lang = 'en' THEN '' ELSE text END AS snippet FROM documents")
+@C.query("p3_snippet", f"SELECT doc_id, CASE WHEN lang = 'en' THEN {MARKED} ELSE text END AS snippet FROM documents")
 def p3(spark, sf):
-    lexical = F.coalesce(F.array_join(F.array().cast("array<string>"), "..."), F.lit(""))
-    return table(spark, sf, "documents").select("doc_id", F.when(F.col("lang") == "en", lexical).otherwise(F.col("text")).alias("snippet"))
+    """English documents stand in for lexical hits, the others for vector hits."""
+    lexical, vector = (search.snippet(F.col("text"), terms) for terms in (["of"], None))
+    return table(spark, sf, "documents").select("doc_id", F.when(F.col("lang") == "en", lexical).otherwise(vector).alias("snippet"))
 
 
 VECTORS = "(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
@@ -273,8 +309,7 @@ VEC = f"SELECT vec_id AS doc_id, score FROM ({NEAR})"
 
 
 def _sides(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    lexical = search.score(docs, "doc_id", "text", ["the"]).select("doc_id", "score")
+    lexical = index.score(indexed(spark, sf), ["the"]).withColumnRenamed("id", "doc_id")
     rows = table(spark, sf, "embeddings")
     own = rows.where("vec_id = 7").first().embedding
     vector = rows.select(F.col("vec_id").alias("doc_id"), ((1 + search.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in own]))) / 2).alias("score"))
@@ -298,14 +333,13 @@ def t4(spark, sf):
 
 @C.query("a7_best_per_key", "SELECT l_orderkey, max(l_extendedprice) AS best FROM lineitem GROUP BY l_orderkey")
 def a7(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("best"))
+    return search.best_per_key(table(spark, sf, "lineitem"), ["l_orderkey"], "l_extendedprice", "best")
 
 
 @C.query("a8_max_normalised", "SELECT o_orderkey, round(o_totalprice / max(o_totalprice) OVER (), 6) AS share FROM orders")
 def a8(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    top = orders.agg(F.max("o_totalprice").alias("top"))
-    return orders.join(F.broadcast(top), F.lit(True)).select("o_orderkey", F.round(F.when(F.col("top") > 0, F.col("o_totalprice") / F.col("top")).otherwise(0.0), 6).alias("share"))
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("share"))
+    return search.max_normalised(orders, "share").select("o_orderkey", F.round("share", 6).alias("share"))
 
 
 @C.query(
@@ -341,7 +375,7 @@ def u0(spark, sf):
 
 @C.query("t13_text_cut", "SELECT doc_id, substr(text, 1, 1000) AS text FROM documents")
 def t13(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 1000).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", models.seen_by_reranker(F.col("text")).alias("text"))
 
 
 @C.query("x14_tokens", f"SELECT doc_id, len(w) AS n, array_to_string(w, '|') AS words FROM {DOCS}")

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from granary.functions.scalars import is_lexical_query
 from granary.operators import books as B
 from granary.operators import facets as FC
+from granary.operators import index as IX
 from granary.operators import neighbours, search, suggest
+from granary.operators.index import Index
 from granary.operators.search import SearchRequest
 
 RESULT = ["chunk_id", "document_id", "score", "snippet"]
@@ -37,7 +39,21 @@ def lexical(chunks: DataFrame, request: SearchRequest) -> tuple[DataFrame, DataF
         found = search.match_phrase(found, "text", request.query)
     hits = search.score(chunks, "chunk_id", "text", terms, found)
     rows = search.page(hits, request.page_size, request.page_number, F.desc("score"), F.col("chunk_id"))
-    return rows.select("chunk_id", "document_id", "score", search.highlight(F.col("text"), terms).alias("snippet")), search.totals(hits)
+    return rows.select("chunk_id", "document_id", "score", search.snippet(F.col("text"), terms).alias("snippet")), search.totals(hits)
+
+
+def lexical_by_index(chunks: DataFrame, index: Index, request: SearchRequest) -> tuple[DataFrame, DataFrame]:
+    """lexical() from the stored index of the chunks of the request's language: only a page of texts is read."""
+    terms = [t for t in request.query.lower().split() if t]
+    hits = IX.without(IX.score(index, terms), index, sorted({w for e in request.exclude_words for w in e.lower().split()}))
+    if request.exact_match:
+        hits = hits.join(IX.phrase(index, terms).select("id"), "id", "left_semi")
+    chunks = search.in_language(chunks, request.language)
+    found = _filtered(chunks, request, request.lexical_categories()).select(F.col("chunk_id").alias("id"), "document_id")
+    hits = hits.join(found, "id").withColumnRenamed("id", "chunk_id")
+    rows = search.page(hits, request.page_size, request.page_number, F.desc("score"), F.col("chunk_id"))
+    shown = chunks.select("chunk_id", "text").join(F.broadcast(rows), "chunk_id")  # one page
+    return shown.select("chunk_id", "document_id", "score", search.snippet(F.col("text"), terms).alias("snippet")).orderBy(F.desc("score"), "chunk_id"), search.totals(hits)
 
 
 def vector(chunks: DataFrame, request: SearchRequest, query_vector: list[float] | None, rerank=None, top: int | None = None) -> DataFrame:
@@ -48,7 +64,7 @@ def vector(chunks: DataFrame, request: SearchRequest, query_vector: list[float]
     if rerank is not None:
         hits = hits.withColumn("score", rerank(F.col("text")))
     rows = search.page(hits, request.page_size, request.page_number, F.desc_nulls_last("score"), F.col("chunk_id"))
-    return rows.select("chunk_id", "document_id", "score", F.col("text").alias("snippet"))
+    return rows.select("chunk_id", "document_id", "score", search.snippet(F.col("text"), None).alias("snippet"))
 
 
 def similar(chunks: DataFrame, chunk_id: str, size: int = 10) -> DataFrame:

@@ -48,16 +48,15 @@ def s29(df):
     return files.page_files(df)
 
 
-@C.query("s6_page_texts", "SELECT doc_id, i - 1 AS position, p AS text FROM (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || '----' || chr(10)), chr(10) || '----' || chr(10)) AS l FROM documents WHERE lang = 'es')) WHERE trim(p) <> ''")
+@C.query("s6_page_texts", "SELECT doc_id, i - 1 AS position, trim(p) AS text FROM (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(p) <> ''")
 def s6(spark, sf):
-    pages = table(spark, sf, "documents").where("lang = 'es'").select("doc_id", F.replace("text", F.lit("\n"), F.lit(files.SEPARATOR)).alias("value"))
-    parts = pages.select("doc_id", F.posexplode(F.split("value", files.SEPARATOR)).alias("position", "text"))
-    return parts.where(F.trim("text") != "").select("doc_id", F.col("position").cast("long").alias("position"), "text")
+    pages = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(files.SEPARATOR)).alias("value"))
+    return files.page_paragraphs(pages, "value").withColumn("position", F.col("position").cast("long"))
 
 
-@C.query("s8_page_writer", "SELECT CAST(o_custkey AS VARCHAR) AS document_id, 1 AS page_num, string_agg(o_orderpriority, chr(10) || '----' || chr(10) ORDER BY o_orderkey) AS value, 'page_0001.txt' AS file FROM orders WHERE o_custkey <= 50 GROUP BY o_custkey")
+@C.query("s8_page_writer", "SELECT CAST(o_custkey AS VARCHAR) AS document_id, 1 AS page_num, string_agg(o_orderpriority, chr(10) || '----' || chr(10) ORDER BY o_orderkey) AS value, 'page_0001.txt' AS file FROM orders GROUP BY o_custkey")
 def s8(spark, sf):
-    rows = table(spark, sf, "orders").where("o_custkey <= 50").select(F.col("o_custkey").cast("string").alias("document_id"), F.lit(1).alias("page_num"), F.col("o_orderkey").alias("position"), F.col("o_orderpriority").alias("text"))
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("document_id"), F.lit(1).alias("page_num"), F.col("o_orderkey").alias("position"), F.col("o_orderpriority").alias("text"))
     return files.page_texts(rows)
 
 
@@ -201,9 +200,8 @@ def a15(spark, sf):
 @C.query("a16_weighted_score", "SELECT l_orderkey, l_linenumber, round(0.6 * l_discount / (SELECT max(l_discount) FROM lineitem) + 0.4 * l_tax / (SELECT max(l_tax) FROM lineitem), 6) AS score FROM lineitem")
 def a16(spark, sf):
     items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax")
-    top = items.agg(F.max("l_discount").alias("d"), F.max("l_tax").alias("t"))
-    score = 0.6 * F.col("l_discount") / F.col("d") + 0.4 * F.col("l_tax") / F.col("t")
-    return items.join(F.broadcast(top), F.lit(True)).select("l_orderkey", "l_linenumber", F.round(score, 6).alias("score"))
+    shares = search.max_normalised(search.max_normalised(items, "l_discount"), "l_tax")
+    return shares.select("l_orderkey", "l_linenumber", F.round(search.weighted(F.col("l_discount"), F.col("l_tax")), 6).alias("score"))
 
 
 # Joins
@@ -229,15 +227,33 @@ def j2(spark, sf):
     return neighbours.fill_pages(marks, spark.createDataFrame(BOOKS, "document_id string, total_pages int"))
 
 
-CONFIGS = [("", {"language": "xx", "type": "base"}), ("hindi", {"language": "hi", "category": "Pravachan"}), ("hindi/cities", {"Anuyog": "city"}), ("hindi/cities/metro", {"type": "metro"})]
-FILES = [("hindi/cities/metro/a.pdf",), ("hindi/b.pdf",), ("other/c.pdf",)]
+#: A folder per region, one per nation in it, and a file per supplier.
+PLACES_SQL = "(SELECT r_name AS region, r_name || '/' || n_name AS dir, r_name || '/' || n_name || '/' || s_name || '.pdf' AS path, * FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 
 
-@C.query("j3_config_overlay", "SELECT * FROM (VALUES ('hindi/cities/metro/a.pdf', 'Anuyog=city;category=Pravachan;language=gu;type=metro'), ('hindi/b.pdf', 'category=Pravachan;language=hi;type=base'), ('other/c.pdf', 'language=xx;type=base')) t(path, config)")
+def _places(spark, sf):
+    nation = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    return rows.withColumns({"region": F.col("r_name"), "dir": F.concat_ws("/", "r_name", "n_name"), "path": F.concat(F.concat_ws("/", "r_name", "n_name", "s_name"), F.lit(".pdf"))})
+
+
+@C.query(
+    "j3_config_overlay",
+    f"""WITH e AS (SELECT path, 0 AS depth, unnest(['language', 'type']) AS k, unnest(['xx', 'base']) AS v FROM {PLACES_SQL}
+UNION ALL SELECT path, 1, unnest(['language', 'category']), unnest([lower(region), 'c' || r_regionkey]) FROM {PLACES_SQL}
+UNION ALL SELECT path, 2, unnest(['type', 'category']), unnest([n_name, n_name]) FROM {PLACES_SQL} WHERE n_nationkey % 2 = 0
+UNION ALL SELECT path, 3, 'language', s_name FROM {PLACES_SQL} WHERE s_acctbal < 0),
+f AS (SELECT path, k, arg_max(v, depth) AS v FROM e GROUP BY ALL)
+SELECT path, string_agg(k || '=' || v, ';' ORDER BY k) AS config FROM f GROUP BY path""",
+)
 def j3(spark, sf):
-    folders = spark.createDataFrame(CONFIGS, "dir string, config map<string,string>")
-    own = spark.createDataFrame([("hindi/cities/metro/a.pdf", {"language": "gu"})], "path string, config map<string,string>")
-    out = overlay.merged_config(spark.createDataFrame(FILES, "path string"), folders, own)
+    places = _places(spark, sf)
+    pair = lambda *cells: F.create_map(*cells).alias("config")
+    base = spark.createDataFrame([("", {"language": "xx", "type": "base"})], "dir string, config map<string,string>")
+    regions = table(spark, sf, "region").select(F.col("r_name").alias("dir"), pair(F.lit("language"), F.lower("r_name"), F.lit("category"), F.concat(F.lit("c"), "r_regionkey")))
+    nations = places.where("n_nationkey % 2 = 0").select("dir", pair(F.lit("type"), F.col("n_name"), F.lit("category"), F.col("n_name")), "n_nationkey").dropDuplicates(["n_nationkey"]).drop("n_nationkey")
+    own = places.where("s_acctbal < 0").select("path", pair(F.lit("language"), F.col("s_name")))
+    out = overlay.merged_config(places.select("path"), base.unionByName(regions).unionByName(nations), own)
     entries = F.transform(F.array_sort(F.map_entries("config")), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return out.select("path", F.array_join(entries, ";").alias("config"))
 
@@ -250,15 +266,29 @@ def j3b(spark, sf):
     return rows.select("s_suppkey", overlay.inherit(rows, "s_suppkey", ["r_name", "mid", "own"]).alias("inherited"))
 
 
-@C.query("j4_scan_settings", "SELECT * FROM (VALUES ('a/b/f.pdf', 'h0,h1,own', 't1', 6, 'deep', 10, 20, 1, 9), ('a/g.pdf', 'h0', '', 3, NULL, 10, NULL, NULL, NULL)) t(path, header_prefix, typos, psm, chunk_strategy, crop_top, crop_bottom, start_page, end_page)")
+@C.query(
+    "j4_scan_settings",
+    f"""SELECT path, concat_ws(',', region, n_name, CASE WHEN s_acctbal > 0 THEN s_name END) AS header_prefix, 't' || n_nationkey AS typos, CASE WHEN n_nationkey % 2 = 0 THEN 6 ELSE 3 END AS psm,
+CASE WHEN n_nationkey % 3 = 0 THEN 'deep' END AS chunk_strategy, 10 + r_regionkey AS crop_top, 20 AS crop_bottom, CASE WHEN s_acctbal > 0 AND s_suppkey % 3 > 0 THEN 1 END AS start_page, CASE WHEN s_acctbal > 0 AND s_suppkey % 3 > 0 THEN CAST(s_suppkey % 3 AS INTEGER) END AS end_page FROM {PLACES_SQL}""",
+)
 def j4(spark, sf):
-    text = "header_prefix array<string>, header_regex array<string>, page_list array<string>, typo_list array<string>, question_prefix array<string>, answer_prefix array<string>"
-    folders = spark.createDataFrame(
-        [("a", ["h0"], None, None, None, None, None, 3, None, False, 10, None), ("a/b", ["h1"], ["r"], None, ["t1"], ["q"], ["a"], 6, "deep", None, None, 20)],
-        f"dir string, {text}, psm int, chunk_strategy string, ignore_bookmarks boolean, crop_top int, crop_bottom int",
-    )
-    own = spark.createDataFrame([("a/b", "a/b/f.pdf", ["own"], None, None, ["no"], None, None, "u", 1, 9), ("a", "a/b/f.pdf", ["never"], None, None, None, None, None, "w", 2, 3)], f"dir string, path string, {text}, file_url string, start_page int, end_page int")
-    out = overlay.scan_settings(spark.createDataFrame([("a/b/f.pdf",), ("a/g.pdf",)], "path string"), folders, own)
+    """Lists add up along region and nation, the deepest scalar counts, and a file's section counts in its own folder only."""
+    places = _places(spark, sf)
+    none, no_int = F.lit(None).cast("array<string>"), F.lit(None).cast("int")
+    lists = lambda **given: [given.get(c, none).alias(c) for c in overlay.LISTS]
+    one = lambda value: F.array(value)
+    region = table(spark, sf, "region").select(
+        F.col("r_name").alias("dir"), *lists(header_prefix=one(F.col("r_name"))), F.lit(3).alias("psm"), F.lit(None).cast("string").alias("chunk_strategy"), F.lit(None).cast("boolean").alias("ignore_bookmarks"),
+        (F.col("r_regionkey") + 10).alias("crop_top"), no_int.alias("crop_bottom"),
+    )
+    nation = places.dropDuplicates(["n_nationkey"]).select(
+        "dir", *lists(header_prefix=one(F.col("n_name")), typo_list=one(F.concat(F.lit("t"), "n_nationkey"))), F.when(F.col("n_nationkey") % 2 == 0, 6).alias("psm"), F.when(F.col("n_nationkey") % 3 == 0, "deep").alias("chunk_strategy"),
+        F.lit(True).alias("ignore_bookmarks"), no_int.alias("crop_top"), F.lit(20).alias("crop_bottom"),
+    )
+    section = lambda at, name, end: [F.col(at).alias("dir"), F.col("path"), *lists(header_prefix=one(name), typo_list=one(F.lit("no"))), F.lit("u").alias("file_url"), F.lit(1).alias("start_page"), end.alias("end_page")]
+    own = places.where("s_acctbal > 0").select(*section("dir", F.col("s_name"), (F.col("s_suppkey") % 3).cast("int")))
+    never = places.select(*section("region", F.lit("never"), F.lit(9)))
+    out = overlay.scan_settings(places.select("path"), region.unionByName(nation), own.unionByName(never))
     return out.select("path", F.array_join("header_prefix", ",").alias("header_prefix"), F.array_join("typo_list", ",").alias("typos"), "psm", "chunk_strategy", "crop_top", "crop_bottom", "start_page", "end_page")
 
 
@@ -287,9 +317,9 @@ def j9(spark, sf):
     return state.changes(now, before, "c_custkey", ["config_hash", "ocr_checksum"]).select("c_custkey", "change")
 
 
-@C.query("j14_similar_words", "WITH v AS (SELECT c_name AS token, 1 AS df FROM customer WHERE c_custkey <= 200), w AS (SELECT DISTINCT substr(token, 1, 9) || 'x' || substr(token, 11) AS word FROM v), c AS (SELECT word, token, df, levenshtein(word, token) AS d FROM w JOIN v ON substr(word, 1, 1) = substr(token, 1, 1) WHERE word NOT IN (SELECT token FROM v) AND length(word) >= 3) SELECT word, row_number() OVER (PARTITION BY word ORDER BY 1 - d::DOUBLE / least(length(word), length(token)) DESC, df DESC, token)::INTEGER AS rank, token AS option, round(1 - d::DOUBLE / least(length(word), length(token)), 6) AS score FROM c WHERE d BETWEEN 1 AND 2 AND 1 - d::DOUBLE / least(length(word), length(token)) >= 0.6 QUALIFY rank <= 3")
+@C.query("j14_similar_words", "WITH v AS (SELECT c_name AS token, 1 AS df FROM customer), w AS (SELECT DISTINCT substr(token, 1, 9) || 'x' || substr(token, 11) AS word FROM v), c AS (SELECT word, token, df, levenshtein(word, token) AS d FROM w JOIN v ON substr(word, 1, 1) = substr(token, 1, 1) WHERE word NOT IN (SELECT token FROM v) AND length(word) >= 3) SELECT word, row_number() OVER (PARTITION BY word ORDER BY 1 - d::DOUBLE / least(length(word), length(token)) DESC, df DESC, token)::INTEGER AS rank, token AS option, round(1 - d::DOUBLE / least(length(word), length(token)), 6) AS score FROM c WHERE d BETWEEN 1 AND 2 AND 1 - d::DOUBLE / least(length(word), length(token)) >= 0.6 QUALIFY rank <= 3")
 def j14(spark, sf):
-    vocabulary = table(spark, sf, "customer").where("c_custkey <= 200").select(F.col("c_name").alias("token"), F.lit(1).alias("df"))
+    vocabulary = table(spark, sf, "customer").select(F.col("c_name").alias("token"), F.lit(1).alias("df"))
     words = vocabulary.select(F.concat(F.substring("token", 1, 9), F.lit("x"), F.substring("token", 11, 100)).alias("word"))
     return suggest.similar_words(words, vocabulary).select("word", "rank", "option", F.round("score", 6).alias("score"))
 
@@ -326,10 +356,13 @@ def j16b(df):
     return df.select(F.explode(suggest.phrase_product(lists)).alias("phrase"))
 
 
-@fixed("x32_recombine", [("x",)], "k VARCHAR", "SELECT unnest(['the fast', 'thy fast']) AS suggestion")
-def x32(df):
-    words, none = F.array(F.lit("teh"), F.lit("fast")), F.array().cast("array<string>")
-    return df.select(F.explode(suggest.recombine(words, F.array(F.array(F.lit("the"), F.lit("thy"), F.lit("the")), none))).alias("suggestion"))
+@C.query("x32_recombine", "WITH r AS (SELECT n_nationkey, [n_name, 'fast', r_name] AS w, [[substr(n_name, 1, 2), substr(n_name, 1, 3), substr(n_name, 1, 2), 'fourth'], [], CASE WHEN n_nationkey % 2 = 0 THEN [lower(r_name)] ELSE [] END] AS o FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT DISTINCT n_nationkey, array_to_string(list_transform([1, 2, 3], lambda j: CASE WHEN len(o[j]) = 0 THEN w[j] ELSE o[j][least(i, len(o[j]))] END), ' ') AS suggestion FROM r, unnest([1, 2, 3]) t(i)")
+def x32(spark, sf):
+    rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    head = lambda n: F.substring("n_name", 1, n)
+    none = F.array().cast("array<string>")
+    options = F.array(F.array(head(2), head(3), head(2), F.lit("fourth")), none, F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lower("r_name"))).otherwise(none))
+    return rows.select("n_nationkey", F.explode(suggest.recombine(F.array(F.col("n_name"), F.lit("fast"), F.col("r_name")), options)).alias("suggestion"))
 
 
 @C.query("j17_corpus_diff", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'different' ELSE 'matching' END AS verdict FROM documents")
@@ -372,10 +405,10 @@ def w3(spark, sf):
     return neighbours.context(_paragraphs(spark, sf), "doc_id", ["position"], ["p"]).select("doc_id", "position", "previous_p", "next_p")
 
 
-@C.query("j13_neighbour_join", f"SELECT a.doc_id, a.position, b.position AS other FROM {PARAS} a JOIN {PARAS} b ON a.doc_id = b.doc_id AND b.position IN (a.position - 1, a.position + 1) WHERE a.position < 3")
+@C.query("j13_neighbour_join", f"SELECT a.doc_id, a.position, b.position AS other FROM {PARAS} a JOIN {PARAS} b ON a.doc_id = b.doc_id AND b.position IN (a.position - 1, a.position + 1)")
 def j13(spark, sf):
     rows = _paragraphs(spark, sf).select("doc_id", "position")
-    asked = rows.where("position < 3").select("doc_id", "position", F.explode(F.array(F.col("position") - 1, F.col("position") + 1)).alias("other"))
+    asked = rows.select("doc_id", "position", F.explode(F.array(F.col("position") - 1, F.col("position") + 1)).alias("other"))
     return asked.join(rows.withColumnRenamed("position", "other"), ["doc_id", "other"]).select("doc_id", "position", "other")
 
 
@@ -404,9 +437,10 @@ def w10(spark, sf):
     return out.select("l_orderkey", "l_linenumber", F.col("seq_num").cast("long").alias("seq_num"))
 
 
-@C.query("w11_cache_eviction", "SELECT p_partkey FROM (SELECT p_partkey, sum(p_size) OVER (ORDER BY p_partkey) - p_size AS before FROM part WHERE p_partkey <= 100) WHERE before < 200")
+@C.query("w11_cache_eviction", "SELECT p_partkey FROM (SELECT p_partkey, sum(p_size) OVER (ORDER BY p_partkey) - p_size AS before FROM part) WHERE before < 2000")
 def w11(spark, sf):
-    return neighbours.evict_oldest(table(spark, sf, "part").where("p_partkey <= 100").select("p_partkey", "p_size"), "p_size", "p_partkey", 200).select("p_partkey")
+    entries = table(spark, sf, "part").select("p_partkey", "p_size")
+    return neighbours.evict_oldest(entries, "p_size", "p_partkey", 2000, F.floor(F.col("p_partkey") / 50)).select("p_partkey")
 
 
 # Sorting and limits
@@ -430,9 +464,11 @@ def t10(spark, sf):
     return search.page(table(spark, sf, "supplier").select("s_suppkey"), 20, 3, F.col("s_suppkey"))
 
 
-@C.query("t11_page_links", "SELECT unnest([1, 2, NULL, 9, 10, 11, NULL, 19, 20]) AS page")
+@C.query("t11_page_links", "WITH c AS (SELECT n_nationkey + 1 AS current, (SELECT count(*) FROM nation) AS total FROM nation), p AS (SELECT current, page, page - lag(page) OVER (PARTITION BY current ORDER BY page) AS step FROM c, unnest(generate_series(1, total)) t(page) WHERE total <= 7 OR page <= 2 OR page >= total - 1 OR abs(page - current) <= 1) SELECT current, CAST(page AS INTEGER) AS page FROM p UNION ALL SELECT current, NULL FROM p WHERE step > 1")
 def t11(spark, sf):
-    return spark.createDataFrame([(p,) for p in scalars.page_links(20, 10)], "page int")
+    """A pager for each place in the list of nations."""
+    total = table(spark, sf, "nation").count()
+    return spark.createDataFrame([(c, p) for c in range(1, total + 1) for p in scalars.page_links(total, c)], "current int, page int")
 
 
 @C.query("f23_score_threshold", "SELECT l_orderkey, l_linenumber, l_discount FROM lineitem WHERE l_discount >= 0.06")

@@ -122,9 +122,9 @@ def x13(df):
     return df.select("t", textnorm.nfkc_casefold(F.col("t")).alias("r"))
 
 
-@C.query("x13_lower", "SELECT doc_id, lower(text) AS t FROM documents WHERE lang = 'en'")
+@C.query("x13_lower", "SELECT doc_id, lower(text) AS t FROM documents")
 def x13b(spark, sf):
-    return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.lower("text").alias("t"))
+    return table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
 
 
 WORDS = [("यह कौन था और क्या है",), ("राम के साथ",), ("અને આ છે",), ("the end",)]
@@ -266,9 +266,9 @@ def f16(df):
     return df.select("t", "centered", textnorm.is_header_line(F.col("t"), F.col("centered"), ["^Chap"]).alias("head"))
 
 
-@C.query("f17_blank_paragraphs", "SELECT doc_id, i - 1 AS position, trim(p) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE lang = 'de') WHERE trim(p) <> ''")
+@C.query("f17_blank_paragraphs", "SELECT doc_id, i - 1 AS position, trim(p) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(p) <> ''")
 def f17(spark, sf):
-    rows = table(spark, sf, "documents").where("lang = 'de'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "p"))
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "p"))
     return rows.withColumn("text", textnorm.strip(F.col("p"))).where("text <> ''").select("doc_id", F.col("position").cast("long").alias("position"), "text")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +32,17 @@ def page_number(path: Column) -> Column:
     return F.regexp_extract(path, r"page_(\d+)\.[^/]*$", 1).try_cast("int")
 
 
+def page_paragraphs(pages: DataFrame, value: str) -> DataFrame:
+    """One row (position, text) per paragraph of a page's text that is not blank, in place of the text."""
+    others = [c for c in pages.columns if c != value]
+    parts = pages.select(*others, F.posexplode(F.split(value, SEPARATOR)).alias("position", "text"))
+    return parts.where(F.trim("text") != "").withColumn("text", F.trim("text"))
+
+
 def read_page_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(document_id, page_num, position, text) of the paragraphs in <folder>/<document>/page_NNNN.txt."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "page_*.txt").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    parts = rows.select(F.element_at(F.split("path", "/"), -2).alias("document_id"), page_number(F.col("path")).alias("page_num"), F.posexplode(F.split("value", SEPARATOR)).alias("position", "text"))
-    return parts.where(F.trim("text") != "").withColumn("text", F.trim("text"))
+    return page_paragraphs(rows.select(F.element_at(F.split("path", "/"), -2).alias("document_id"), page_number(F.col("path")).alias("page_num"), "value"), "value")
 
 
 def read_page_json(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,9 +107,15 @@ def ensure_table(spark: SparkSession, name: str, schema: str, path: str) -> None
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet LOCATION '{path}'")
 
 
-def drop_tables(spark: SparkSession, names: list[str]) -> None:
+def drop_tables(spark: SparkSession, names: list[str]) -> dict[str, str]:
+    """Drops tables, going on after one that cannot be dropped; what went wrong, by name."""
+    failed = {}
     for name in names:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except PySparkException as error:
+            failed[name] = str(error)
+    return failed
 
 
 def substitute_env(text: str, env: dict[str, str]) -> str:
