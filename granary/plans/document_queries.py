@@ -83,86 +83,63 @@ def w6(spark, sf):
 
 # Books
 
-VERSE_BOOK = """# अधिकार एक
+#: A book per brand with a verse or a prose section per part, numbered through; empty subsections take no number.
+SECTIONS = """(SELECT p_brand AS granth_id, p_partkey AS n, p_size AS p, p_size % 2 = 0 AS is_verse, p_partkey % 3 = 0 AS is_range,
+CAST(1 + coalesce(sum(CASE WHEN p_size % 2 = 0 THEN 1 ELSE 2 END) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS seq FROM part)"""
 
-## Gatha 1
 
-मूल  श्लोक
+def _books(spark, sf):
+    n, p = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    lines = lambda *parts: F.concat_ws("\n\n", *[F.lit(x) if isinstance(x, str) else x for x in parts])
+    put = lambda before, value: F.concat(F.lit(before), value)
+    title = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("## Kalash "), n, F.lit("-"), (F.col("p_partkey") + 1).cast("string"))).otherwise(put("## Gatha ", n))
+    verse = lines(title, put("मूल  ", p), "### Translation", put("अनुवाद ", n), "### Teeka", put("पहली ", p), put("दूसरी ", n), put("### Page Number - ", p))
+    prose = lines(put("## शीर्षक ", p), put("पैरा ", p), put("और ", n), put("### उपखंड ", n), put("नीचे ", p), "### खाली")
+    rows = table(spark, sf, "part").select(F.col("p_brand").alias("granth_id"), "p_partkey", F.when(F.col("p_size") % 2 == 0, verse).otherwise(prose).alias("text"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "text"))), lambda r: r["text"]), "\n\n")
+    markdown = rows.groupBy("granth_id").agg(F.concat(F.lit("# अधिकार "), "granth_id", F.lit("\n\n"), text).alias("markdown"))
+    return markdown.select("granth_id", books.parse_books("markdown").alias("b")).select("granth_id", "b.*")
 
-### Translation
 
-अनुवाद
+@C.query("s11_x38_w10_parse_book", f"SELECT granth_id, CASE WHEN is_range THEN 'Kalash' ELSE 'Gatha' END AS type, seq AS seq_num, CAST(n AS INTEGER) AS type_start_num, CAST(CASE WHEN is_range THEN n + 1 ELSE n END AS INTEGER) AS type_end_num, p AS page_num FROM {SECTIONS} WHERE is_verse")
+def parse(spark, sf):
+    return _books(spark, sf).select("granth_id", F.explode("verses").alias("v")).select("granth_id", "v.type", "v.seq_num", "v.type_start_num", "v.type_end_num", "v.page_num")
 
-### Teeka
 
-पहली टीका
+VERSE_CHUNKS = f"""(SELECT granth_id, granth_id || '_v' || seq || '_' || unnest(['verse', 'translation', 'teeka_0', 'teeka_1']) AS chunk_id, unnest(['मूल ' || p, 'अनुवाद ' || n, 'पहली ' || p, 'दूसरी ' || n]) AS text, unnest([FALSE, FALSE, TRUE, TRUE]) AS embed FROM {SECTIONS} WHERE is_verse)"""
+PROSE_CHUNKS = f"""(SELECT granth_id, granth_id || '_p' || seq || unnest(['_content_0', '_content_1', '_sub' || (seq + 1) || '_content_0']) AS chunk_id, 'prose_' || unnest([seq || '_content_0', seq || '_content_1', (seq + 1) || '_content_0']) AS paragraph_id, unnest(['पैरा ' || p, 'और ' || n, 'नीचे ' || p]) AS text FROM {SECTIONS} WHERE NOT is_verse)"""
 
-दूसरी टीका
 
-### Page Number - 7
+@C.query("p5_p6_verse_chunks", f"SELECT chunk_id, text, embed FROM {VERSE_CHUNKS}")
+def p5(spark, sf):
+    return books.verse_chunks(_books(spark, sf)).select("chunk_id", "text", "embed")
 
-## Kalash 2-3
 
-कलश पाठ
+@C.query("p7_prose_chunks", f"SELECT chunk_id, paragraph_id, text FROM {PROSE_CHUNKS}")
+def p7(spark, sf):
+    return books.prose_chunks(_books(spark, sf)).select("chunk_id", "paragraph_id", "text")
 
-## प्रस्तावना
 
-पहला पैरा
+@C.query("p8_renested_book", f"SELECT granth_id, count(*) FILTER (is_verse)::INTEGER AS n_verses, count(*) FILTER (NOT is_verse)::INTEGER AS n_prose, CASE WHEN bool_or(is_verse) THEN 'अधिकार ' || granth_id END AS adhikar FROM {SECTIONS} GROUP BY granth_id")
+def p8(spark, sf):
+    return _books(spark, sf).select("granth_id", F.size("verses").alias("n_verses"), F.size("prose_sections").alias("n_prose"), F.get("verses", F.lit(0))["adhikar"].alias("adhikar"))
 
-### उपखंड
 
-उप पैरा एक
+@C.query("p9_verse_by_number", f"SELECT granth_id, max(CASE WHEN is_verse AND seq = 4 THEN 'मूल ' || p END) AS verse, NULL::VARCHAR AS none FROM {SECTIONS} GROUP BY granth_id")
+def p9(spark, sf):
+    verse = lambda k: books.verse_by_number(F.col("verses"), F.lit(k))["verse"]
+    return _books(spark, sf).select("granth_id", verse(4).alias("verse"), verse(10**6).alias("none"))
 
-उप पैरा दो
 
-### खाली
+@C.query("p10_prose_by_number", f"WITH s AS (SELECT granth_id, seq AS k, 'शीर्षक ' || p AS heading, NULL::INTEGER AS parent, NULL::VARCHAR AS parent_heading FROM {SECTIONS} WHERE NOT is_verse UNION ALL SELECT granth_id, seq + 1, 'उपखंड ' || n, seq, 'शीर्षक ' || p FROM {SECTIONS} WHERE NOT is_verse) SELECT b.granth_id, heading, parent, parent_heading FROM (SELECT DISTINCT p_brand AS granth_id FROM part) b LEFT JOIN s ON s.granth_id = b.granth_id AND k = 4")
+def p10(spark, sf):
+    found = books.prose_by_number(F.col("prose_sections"), F.lit(4))
+    return _books(spark, sf).select("granth_id", found["heading"].alias("heading"), found["parent_seq_num"].alias("parent"), found["parent_heading"].alias("parent_heading"))
 
-## Shlok 9
 
-श्लोक
-"""
-BOOK = [("g1", VERSE_BOOK)]
-
-
-def _books(df):
-    return df.select("granth_id", books.parse_books("markdown").alias("b")).select("granth_id", "b.*")
-
-
-@fixed("s11_x38_w10_parse_book", BOOK, "granth_id VARCHAR, markdown VARCHAR", "SELECT * FROM (VALUES ('Gatha', 1, 1, 1, 7), ('Kalash', 2, 2, 3, NULL), ('Shlok', 5, 9, 9, NULL)) t(type, seq_num, type_start_num, type_end_num, page_num)")
-def parse(df):
-    return _books(df).select(F.explode("verses").alias("v")).select("v.type", "v.seq_num", "v.type_start_num", "v.type_end_num", "v.page_num")
-
-
-@fixed("p5_p6_verse_chunks", BOOK, "granth_id VARCHAR, markdown VARCHAR", "SELECT * FROM (VALUES ('g1_v1_verse', 'मूल श्लोक', FALSE), ('g1_v1_translation', 'अनुवाद', FALSE), ('g1_v1_teeka_0', 'पहली टीका', TRUE), ('g1_v1_teeka_1', 'दूसरी टीका', TRUE), ('g1_v2_verse', 'कलश पाठ', FALSE), ('g1_v5_verse', 'श्लोक', FALSE)) t(chunk_id, text, embed)")
-def p5(df):
-    return books.verse_chunks(_books(df)).select("chunk_id", "text", "embed")
-
-
-@fixed("p7_prose_chunks", BOOK, "granth_id VARCHAR, markdown VARCHAR", "SELECT * FROM (VALUES ('g1_p3_content_0', 'prose_3_content_0', 'पहला पैरा'), ('g1_p3_sub4_content_0', 'prose_4_content_0', 'उप पैरा एक'), ('g1_p3_sub4_content_1', 'prose_4_content_1', 'उप पैरा दो')) t(chunk_id, paragraph_id, text)")
-def p7(df):
-    return books.prose_chunks(_books(df)).select("chunk_id", "paragraph_id", "text")
-
-
-@fixed("p8_renested_book", BOOK, "granth_id VARCHAR, markdown VARCHAR", "SELECT 'g1' AS granth_id, 3 AS n_verses, 1 AS n_prose, 'अधिकार एक' AS adhikar")
-def p8(df):
-    return _books(df).select("granth_id", F.size("verses").alias("n_verses"), F.size("prose_sections").alias("n_prose"), F.col("verses")[0]["adhikar"].alias("adhikar"))
-
-
-@fixed("p9_verse_by_number", BOOK, "granth_id VARCHAR, markdown VARCHAR", "SELECT 'g1' AS granth_id, 'कलश पाठ' AS verse, NULL AS none")
-def p9(df):
-    rows = _books(df)
-    return rows.select("granth_id", books.verse_by_number(F.col("verses"), F.lit(2))["verse"].alias("verse"), books.verse_by_number(F.col("verses"), F.lit(99))["verse"].alias("none"))
-
-
-@fixed("p10_prose_by_number", BOOK, "granth_id VARCHAR, markdown VARCHAR", "SELECT 'प्रस्तावना' AS own, 'उपखंड' AS sub, 3 AS parent, 'प्रस्तावना' AS parent_heading")
-def p10(df):
-    own, sub = (books.prose_by_number(F.col("prose_sections"), F.lit(k)) for k in (3, 4))
-    return _books(df).select(own["heading"].alias("own"), sub["heading"].alias("sub"), sub["parent_seq_num"].alias("parent"), sub["parent_heading"].alias("parent_heading"))
-
-
-@fixed("u5_book_chunks", BOOK, "granth_id VARCHAR, markdown VARCHAR", "SELECT 9 AS n, 5 AS embedded")
-def u5(df):
-    return books.book_chunks(_books(df)).agg(F.count("*").cast("int").alias("n"), F.count_if("embed").cast("int").alias("embedded"))
+@C.query("u5_book_chunks", f"SELECT granth_id, count(*) AS n, count(*) FILTER (embed) AS embedded FROM (SELECT granth_id, embed FROM {VERSE_CHUNKS} UNION ALL SELECT granth_id, TRUE FROM {PROSE_CHUNKS}) GROUP BY granth_id")
+def u5(spark, sf):
+    return books.book_chunks(_books(spark, sf)).groupBy("granth_id").agg(F.count("*").alias("n"), F.count_if("embed").alias("embedded"))
 
 
 @C.query("x38_page_elements", r"SELECT page_id, len(l) AS n, array_to_string(list_transform(l, lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), ' +', ' ', 'g'))), '|') AS texts FROM (SELECT page_id, regexp_extract_all(html, '(?s)<(?:h1\b[^>]*>.*?</h1|h2\b[^>]*>.*?</h2|h3\b[^>]*>.*?</h3|p\b[^>]*>.*?</p)>') AS l FROM pages)")

@@ -4,7 +4,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from granary.functions import scalars, textnorm
-from granary.operators import paragraphs, state
+from granary.operators import books, index, neighbours, paragraphs, search, state, suggest
 from granary.plans import service
 from granary.sources import files
 from granary.streaming import ingest
@@ -228,3 +228,97 @@ def test_lines_strategy(spark):
     df = spark.createDataFrame([("d", 1, n, t, a, b, 100.0, 900.0) for n, t, a, b in lines], "document_id string, page_num int, line_num int, text string, x_start int, x_end int, prose_left_margin double, prose_right_margin double")
     got = ingestion.generate(df, "hi", header_patterns=["^Chapter"]).orderBy("position").collect()
     assert [r.text for r in got] == ["लंबी पंक्ति चलती है और रुकती है।", "नई बात।"]
+
+
+BOOK = """# अधिकार एक
+
+## Gatha 1
+
+मूल  श्लोक
+
+### Translation
+
+अनुवाद
+
+### Teeka
+
+पहली टीका
+
+दूसरी टीका
+
+### Page Number - 7
+
+## Kalash 2-3
+
+कलश पाठ
+
+## प्रस्तावना
+
+पहला पैरा
+
+### उपखंड
+
+उप पैरा एक
+
+उप पैरा दो
+
+### खाली
+
+## Shlok 9
+
+श्लोक
+"""
+
+
+def test_book_grammar():
+    book = books.parse_book(BOOK)
+    assert [(v["type"], v["seq_num"], v["type_start_num"], v["type_end_num"], v["page_num"]) for v in book["verses"]] == [("Gatha", 1, 1, 1, 7), ("Kalash", 2, 2, 3, None), ("Shlok", 5, 9, 9, None)]
+    assert [v["verse"] for v in book["verses"]] == ["मूल श्लोक", "कलश पाठ", "श्लोक"]
+    assert book["verses"][0]["teeka"] == ["पहली टीका", "दूसरी टीका"]
+    (prose,) = book["prose_sections"]
+    assert (prose["seq_num"], prose["heading"], prose["content"], prose["adhikar"]) == (3, "प्रस्तावना", ["पहला पैरा"], "अधिकार एक")
+    assert [(u["seq_num"], u["heading"], u["content"]) for u in prose["subsections"]] == [(4, "उपखंड", ["उप पैरा एक", "उप पैरा दो"])]
+
+
+def test_index_equals_scan(spark, sf, tmp_path):
+    """Lookups read their own folders only, and repeated, unknown and no terms are as told."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
+    own = index.write(docs, "doc_id", "text", str(tmp_path / "ix"))
+    rounded = lambda df: sorted((r[0], round(r[1], 6)) for r in df.collect())
+    for terms in (["the"], ["the", "of"], ["the", "the"], ["nosuchterm", "the"]):
+        assert rounded(index.score(own, terms)) == rounded(search.score(docs, "doc_id", "text", terms).select("doc_id", "score"))
+    assert index.score(own, []).count() == 0
+    plan = index.lookup(own.postings, ["the"])._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :]
+    assert "bucket" in filters.split("PushedFilters")[0] and "EqualTo(token,the)" in filters.split("PushedFilters")[1]
+
+
+def test_drop_goes_on(spark):
+    failed = files.drop_tables(spark, ["no such name", "granary_absent"])
+    assert list(failed) == ["no such name"]
+
+
+def test_eviction_by_eras(spark):
+    rows = [(k, (k * 7) % 5 + 1) for k in range(60)]
+    df = spark.createDataFrame(rows, "used long, size long")
+    for needed in (0, 1, 40, 10**6):
+        total, want = 0, []
+        for used, size in rows:
+            if total < needed:
+                want.append(used)
+            total += size
+        got = neighbours.evict_oldest(df, "size", "used", needed, F.floor(F.col("used") / 7))
+        assert sorted(r.used for r in got.collect()) == want
+
+
+def test_similar_words_equal_all_pairs(spark):
+    """Also words beyond the length up to which they are joined by their rests."""
+    stem = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = ["house", "mouse", "horse", "hous", "houses", "haus", stem, stem[:-1], stem[:-3] + "zzz", stem[:24], stem[:23]]
+    words = ["hoise", "housse", "hosue", stem + "x", stem[:10] + stem[11:], stem[:22] + "q", stem[:24] + "?", "house"]
+    v = spark.createDataFrame([(w, 1) for w in vocabulary], "token string, df int")
+    w = spark.createDataFrame([(x,) for x in words], "word string")
+    got = {(r.word, r.option) for r in suggest.similar_words(w, v, n=99).collect()}
+    pairs = w.crossJoin(v).where("substring(word, 1, 1) = substring(token, 1, 1) and levenshtein(word, token) between 1 and 2")  # a small fixture
+    near = pairs.withColumn("s", 1 - F.levenshtein("word", "token") / F.least(F.length("word"), F.length("token"))).where("s >= 0.6")
+    assert got == {(r.word, r.token) for r in near.collect() if r.word not in vocabulary}
