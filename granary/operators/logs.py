@@ -10,6 +10,19 @@ from granary.functions.scalars import is_private_ip
 FIELDS = ("timestamp", "client_ip", "query", "search_type", "exact_match", "categories", "language", "enable_reranking", "page_size", "page_number", "latency_ms", "total_results")
 
 
+#: The columns of an exported log, in order.
+EXPORT = (
+    "timestamp", "date", "hour", "day_of_week", "client_ip", "country", "country_code", "region", "city", "latitude", "longitude",
+    "query", "search_type", "exact_match", "categories", "language", "enable_reranking", "page_size", "page_number", "latency_ms", "total_results", "has_results",
+)
+
+
+def write_csv(records: DataFrame, path: str) -> None:
+    """Records with their time parts as CSV with a header, in the fixed columns; those that records lack are empty."""
+    rows = with_time_parts(records)
+    rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in EXPORT]).write.mode("overwrite").option("header", True).csv(path)
+
+
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     """Typed records of the log lines; lines with too few fields, a bad time or a bad number are left out."""
     f = F.split(F.col(column), ",")

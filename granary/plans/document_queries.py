@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.operators import books, models, paragraphs
+from granary.operators import books, models, paragraphs, scans
 from granary.plans.base import Catalog, fixed_in, table, values
 
 C = Catalog()
@@ -40,6 +40,14 @@ def a2(spark, sf):
     return out.select("document_id", "page_num", F.round("avg_left_margin", 6).alias("avg_left_margin"), F.round("avg_right_margin", 6).alias("avg_right_margin"), "prose_left_margin", "prose_right_margin")
 
 
+@C.query("s3_s4_v6_scanned_pages", "SELECT doc_id::VARCHAR AS document_id, CAST(i AS INTEGER) AS page_num, trim(p) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(p) <> ''")
+def s3(spark, sf):
+    """Each line of a document stands for a scanned page; the plain engines are injected."""
+    content = F.encode(F.translate("text", "\n", "\f"), "UTF-8")
+    scans_of = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), content.alias("content"))
+    return scans.scanned_pages(scans_of, recogniser=scans.plain_text, reader=scans.PlainDocument).select("document_id", "page_num", "text")
+
+
 PAGE = [
     ("d", 1, 1, "शीर्षक", 300, 500), ("d", 1, 2, "पहली पंक्ति जो लंबी है और चलती है", 100, 900), ("d", 1, 3, "और समाप्त होती है।", 100, 400),
     ("d", 1, 4, "नया अनुच्छेद यहाँ से", 130, 900), ("d", 1, 5, "चलता रहता है", 100, 900), ("d", 1, 6, "यह एक मध्य में रखा छंद है", 250, 750),

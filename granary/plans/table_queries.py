@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions import scalars
 from granary.operators import facets, logs, neighbours, overlay, search, state, suggest
 from granary.plans.base import Catalog, fixed_in, table, values
+from granary.session import shared_dir
 from granary.sources import files
 from granary.streaming import ingest
 
 C = Catalog()
 fixed = fixed_in(C)
 
+
+def _folder(spark) -> str:
+    """A new folder that driver and executors share."""
+    return f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}"
+
+
 # Sources
 
 PATHS = [("a/one.pdf",), ("a/TWO.PDF",), ("a/notes.txt",), ("skip/_ignore",), ("skip/x.pdf",), ("skip/deep/y.pdf",), (".hidden/z.pdf",), ("b/.dot.pdf",), ("b/page_0012.txt",), ("b/page_0003.json",)]
@@ -84,6 +93,36 @@ def s25(df):
     return logs.log_texts(df, "value", 3, 12)
 
 
+@C.query("s16_s17_table_life", "SELECT r_regionkey, r_name FROM region")
+def s16(spark, sf):
+    """Made once though asked for twice, filled, and dropped; the files of the table outlive its name."""
+    name, path = f"granary_{uuid.uuid4().hex}", _folder(spark)
+    for _ in range(2):
+        files.ensure_table(spark, name, "r_regionkey int, r_name string", path)
+    table(spark, sf, "region").select("r_regionkey", "r_name").write.insertInto(name)
+    files.drop_tables(spark, [name, name])
+    return spark.read.schema("r_regionkey int, r_name string").parquet(path)
+
+
+@C.query("s26_snapshot_restore", "SELECT n_nationkey, n_name FROM nation")
+def s26(spark, sf):
+    """A table that was changed after a snapshot is as it was after restoring."""
+    root, nation = _folder(spark), table(spark, sf, "nation").select("n_nationkey", "n_name")
+    files.write_snapshot({"nation": nation}, f"{root}/snapshots", "s1")
+    nation.withColumn("n_name", F.lit("changed")).write.parquet(f"{root}/live/nation")
+    return files.restore_into(spark, f"{root}/snapshots", f"{root}/live")["nation"]
+
+
+@C.query("z1_z3_ingest_once", "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY lang")
+def z1(spark, sf):
+    """Two runs over the same files take each document once."""
+    root, schema = _folder(spark), table(spark, sf, "documents").select("doc_id", "lang", "n_chars").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/documents.parque[t]")
+    for _ in range(2):
+        ingest.ingest(stream, ["doc_id"], lambda df, _: df.write.mode("append").parquet(f"{root}/out"), f"{root}/checkpoint")
+    return spark.read.schema(schema).parquet(f"{root}/out").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
 # Facets and aggregations
 
 
@@ -166,6 +205,14 @@ def p15(spark, sf):
     return logs.with_time_parts(_records(spark, sf)).select("client_ip", "hour", "day_of_week", "date", "has_results")
 
 
+@C.query("s24_csv_export", f"SELECT client_ip, search_type, total_results::VARCHAR AS total_results, hour(timestamp)::VARCHAR AS hour, dayname(timestamp) AS day_of_week, (total_results > 0)::VARCHAR AS has_results, NULL::VARCHAR AS country, 22 AS n_columns FROM {RECORDS}")
+def s24(spark, sf):
+    path = _folder(spark)
+    logs.write_csv(_records(spark, sf), path)
+    back = spark.read.option("header", True).csv(path)
+    return back.select("client_ip", "search_type", "total_results", "hour", "day_of_week", "has_results", "country", F.lit(len(back.columns)).alias("n_columns"))
+
+
 LINES = [("2024-01-02 03:04:05,8.8.8.8,राम; सीता,lexical,True,{},hi,False,10,1,12.5,3",), ("bad time,1.1.1.1,q,vector,False,{},hi,False,10,1,1.0,0",), ("2024-01-02 03:04:05,1.1.1.1,q,vector,False,{},hi,False,ten,1,1.0,0",), ("too,few",), ("2024-01-03 00:00:00,10.0.0.1,q,vector,false,{},gu,true,5,2,99.0,0",)]
 
 

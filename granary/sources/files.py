@@ -103,6 +103,17 @@ def restore_snapshot(spark: SparkSession, path: str, name: str | None = None) ->
     return {t: spark.read.parquet(f"{path}/{name or found[-1]}/{t}") for t in sorted(s.getPath().getName() for s in fs.listStatus(at))}
 
 
+def restore_into(spark: SparkSession, path: str, target: str, name: str | None = None) -> dict[str, DataFrame]:
+    """Puts a snapshot's tables below target; what is there under their names goes first."""
+    restored = {}
+    for table, df in restore_snapshot(spark, path, name).items():
+        fs, at = _fs(spark, f"{target}/{table}")
+        fs.delete(at, True)
+        df.write.parquet(f"{target}/{table}")
+        restored[table] = spark.read.parquet(f"{target}/{table}")
+    return restored
+
+
 def ensure_table(spark: SparkSession, name: str, schema: str, path: str) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet LOCATION '{path}'")
 

@@ -4,7 +4,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from granary.functions import scalars, textnorm
-from granary.operators import books, index, neighbours, paragraphs, search, state, suggest
+from granary.operators import books, index, neighbours, paragraphs, scans, search, state, suggest
 from granary.plans import service
 from granary.sources import files
 from granary.streaming import ingest
@@ -322,3 +322,14 @@ def test_similar_words_equal_all_pairs(spark):
     pairs = w.crossJoin(v).where("substring(word, 1, 1) = substring(token, 1, 1) and levenshtein(word, token) between 1 and 2")  # a small fixture
     near = pairs.withColumn("s", 1 - F.levenshtein("word", "token") / F.least(F.length("word"), F.length("token"))).where("s >= 0.6")
     assert got == {(r.word, r.token) for r in near.collect() if r.word not in vocabulary}
+
+
+def test_scans(spark):
+    """Pages out of range are skipped, margins cut, blank paragraphs left out, and engines can be put in."""
+    content = b"head\none\n\n \n\ntwo\nfoot\fsecond"
+    df = spark.createDataFrame([("d", bytearray(content)), ("e", None), ("f", bytearray(b""))], "document_id string, content binary")
+    rows = lambda **how: sorted((r.document_id, r.page_num, r.position, r.text) for r in scans.scanned_pages(df, **how).collect())
+    assert rows() == [("d", 1, 0, "head\none"), ("d", 1, 1, "two\nfoot"), ("d", 2, 0, "second")]
+    assert rows(pages=[2, 9, 0, 2]) == [("d", 2, 0, "second")]
+    assert rows(pages=[1], crop_top=15, crop_bottom=15) == [("d", 1, 0, "one"), ("d", 1, 1, "two")]
+    assert rows(pages=[2], recogniser=lambda image: image.decode().upper()) == [("d", 2, 0, "SECOND")]
