@@ -15,10 +15,15 @@ link is confirmed on the full sets. The steps:
    text's own label is the commonest one of the region in every order. So each member is also a candidate with
    the row that is most often among the commonest labels of its regions, and a member that turns out not to be
    linked with it is one with the next HUBS - 1 such rows: pairs grow with the region, not with its square.
-5. Candidates whose set sizes allow a link are confirmed on full texts in three rounds: first the pairs with the
+5. A region may also be crowded by a template that all its rows hold and that alone makes no link. There signatures
+   agree by the template, and links hang on the rest. So rows of regions that are not one component after the first
+   round get a second forest, over the shingles that they have beyond the text of their most frequent central row
+   (those that they lack of it, if they have none beyond): the template is gone from these, and what two linked rows
+   share besides it is a large part of them. Rows are candidates here if they share one whole value.
+6. Candidates whose set sizes allow a link are confirmed on full texts in three rounds: first the pairs with the
    first hub and each document's smallest neighbour, then the smallest neighbour in another component, then
    whatever pairs still lie across components. Pairs inside a component need no test, as they change nothing.
-6. Components by alternating stars. Nothing of the corpus goes to the driver.
+7. Components by alternating stars. Nothing of the corpus goes to the driver.
 
 Documents are known by doc_id: rows that share an id count as one node with either text, and all are kept or
 none. A null id is linked with nothing and kept. Other columns are ignored; an empty table gives no rows.
@@ -41,8 +46,8 @@ HASHES = 96
 ORDERS = 24
 FLOOR = 3
 LEVELS = 12
-NEAR, DENSE, CROWD = 8, 1, 16
-HUBS = 4
+NEAR, DENSE, CROWD = 8, 2, 16
+HUBS = 8
 BUCKETS = 64
 SMALL = 2_000_000
 
@@ -111,8 +116,11 @@ def _sign(batches):
     give_back()
 
 
+LABELS = pa.schema([("label", pa.binary()), ("node", pa.int64()), ("n", pa.int64())])
+LABELS_SQL = "label binary, node long, n long"
+
+
 def _labels(batches):
-    schema = pa.schema([("label", pa.binary()), ("node", pa.int64()), ("n", pa.int64())])
     stride = HASHES // ORDERS
     for batch in batches:
         if not batch.num_rows:
@@ -125,10 +133,48 @@ def _labels(batches):
             rows[:, 0] = order
             rows[:, 1:] = np.ascontiguousarray(part).view(np.uint8).reshape(len(nodes), -1)
             data = pa.array([r.tobytes() for r in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([data, pa.array(nodes), pa.array(sizes)], schema=schema)
+            yield pa.RecordBatch.from_arrays([data, pa.array(nodes), pa.array(sizes)], schema=LABELS)
+
+
+def _own_labels(batches):
+    """(node, text, hub_text) to labels of what a text has beyond its hub's, or lacks of it: a value in 32 bits, the next ones in 16."""
+    known, stride = WordHashes(), HASHES // ORDERS
+    hubs: dict[str, np.ndarray] = {}
+    for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
+        nodes, sizes, kinds, sigs = [], [], [], []
+        for node, text, hub in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if hub not in hubs:
+                if len(hubs) > 256:
+                    hubs.clear()
+                hubs[hub] = np.unique(shingles(word_hashes(hub, known)))
+            values, central = np.unique(shingles(word_hashes(text, known))), hubs[hub]
+            own = np.setdiff1d(values, central, assume_unique=True)
+            lacks = not len(own)
+            if lacks:
+                own = np.setdiff1d(central, values, assume_unique=True)
+            if len(own):
+                nodes.append(node)
+                sizes.append(len(values))
+                kinds.append(lacks)
+                sigs.append(minima(own))
+        if not nodes:
+            continue
+        sig = np.stack(sigs)
+        for order in range(ORDERS):
+            part = np.roll(sig, -order * stride, axis=1)
+            rows = np.empty((len(nodes), WIDTH), np.uint8)
+            rows[:, 0] = order + ORDERS * np.array(kinds, np.uint8)
+            rows[:, 1:OWN_PREFIX] = np.ascontiguousarray(part[:, :1].astype(">u4")).view(np.uint8)
+            rows[:, OWN_PREFIX:] = np.ascontiguousarray(part[:, 1 : LEVELS - 1].astype(np.uint16).astype(">u2")).view(np.uint8)
+            data = pa.array([r.tobytes() for r in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([data, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())], schema=LABELS)
+    known.clear()
+    hubs.clear()
+    give_back()
 
 
 PREFIX = 1 + 2 * FLOOR
+OWN_PREFIX = 1 + 4
 WIDTH = 1 + 2 * LEVELS
 OUT = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("label", pa.binary()), ("n", pa.int64())])
 
@@ -137,7 +183,7 @@ def _size_ok(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(x, y) >= 75 * np.maximum(x, y)
 
 
-def _neighbours(borders: bool):
+def _neighbours(borders: bool, prefix: int = PREFIX):
     """Rows sorted by label: candidate pairs, crowded rows, and the rows at the partition's ends."""
 
     def pack(kind, a, b=None, label=None, n=None):
@@ -164,12 +210,12 @@ def _neighbours(borders: bool):
                 x, node, n = np.concatenate([carry[0], x]), np.concatenate([carry[1], node]), np.concatenate([carry[2], n])
             crowded = np.zeros(len(node), bool)
             if len(node) > CROWD:
-                crowded[CROWD:] = (x[CROWD:, :PREFIX] == x[:-CROWD, :PREFIX]).all(axis=1)
+                crowded[CROWD:] = (x[CROWD:, :prefix] == x[:-CROWD, :prefix]).all(axis=1)
             for s in range(1, NEAR + 1):
                 at = np.arange(max(s, old), len(node))
                 if not len(at):
                     continue
-                ok = (x[at, :PREFIX] == x[at - s, :PREFIX]).all(axis=1) & _size_ok(n[at], n[at - s])
+                ok = (x[at, :prefix] == x[at - s, :prefix]).all(axis=1) & _size_ok(n[at], n[at - s])
                 if s > DENSE:
                     ok &= ~crowded[at]
                 at = at[ok]
@@ -253,17 +299,45 @@ def _hub_pairs(crowd: DataFrame, hubs: DataFrame) -> DataFrame:
     return crowd.select("region", "node").join(broadcast_if_small(first, SMALL), "region").where("node != hub").select(*_ordered("node", "hub")).distinct()
 
 
-def _rest_pairs(crowd: DataFrame, hubs: DataFrame, comp: DataFrame) -> DataFrame:
-    """(a, b): crowded rows that are not linked with their region's most central row, with its further central rows."""
+def _rest(crowd: DataFrame, hubs: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(region, node, c_node): crowded rows that are not linked with their region's most central row; (region, place, hub, c_hub)."""
     of = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
     told = hubs.join(of("hub"), "hub", "left").select("region", "place", "hub", F.coalesce("c_hub", "hub").alias("c_hub"))
     first = told.where("place = 0").select("region", F.col("c_hub").alias("main"))
     rows = crowd.select("region", "node").join(of("node"), "node", "left").select("region", "node", F.coalesce("c_node", "node").alias("c_node"))
-    rest = rows.join(broadcast_if_small(first, SMALL), "region").where("c_node != main")
+    return rows.join(broadcast_if_small(first, SMALL), "region").where("c_node != main").select("region", "node", "c_node"), told
+
+
+def _rest_pairs(rest: DataFrame, told: DataFrame) -> DataFrame:
+    """(a, b): crowded rows that are not linked with their region's most central row, with its further central rows."""
     further = told.where("place > 0").select("region", "hub", "c_hub")
     return rest.join(broadcast_if_small(further, SMALL), "region").where("c_node != c_hub").select(*_ordered("node", "hub")).distinct()
 
 
+def _sorted_pairs(labels: DataFrame, name: str, prefix: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(a, b): neighbours in the sorted orders of the labels, over partition borders too; and all that the first pass found."""
+    out = "kind string, a long, b long, label binary, n long"
+    ordered = labels.repartitionByRange("label", "node").sortWithinPartitions("label", "node")
+    found = scratch.table(ordered.mapInArrow(_neighbours(True, prefix), out), name)
+    border = found.where("kind = 'border'").select("label", F.col("a").alias("node"), "n").distinct().coalesce(1).sortWithinPartitions("label", "node")
+    across = border.mapInArrow(_neighbours(False, prefix), out)
+    pairs = found.where("kind = 'pair'").select("a", "b").union(across.where("kind = 'pair'").select("a", "b"))
+    return pairs.where("a != b").distinct(), found
+
+
+def _own_pairs(crowd: DataFrame, hubs: DataFrame, rest: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): rows of regions that are not one component, near each other in what they have beyond a central row."""
+    open_regions = scratch.table(rest.select("region").distinct(), "open")
+    first = hubs.where("place = 0").select("region", "hub").join(broadcast_if_small(open_regions, SMALL), "region", "left_semi")
+    votes = crowd.select("region", "node").join(broadcast_if_small(first, SMALL), "region").where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("c"))
+    own = scratch.table(votes.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub")), "own")
+    central = texts.withColumnsRenamed({"node": "hub", "text": "hub_text"}).join(broadcast_if_small(own.select("hub").distinct(), SMALL), "hub", "left_semi")
+    central = scratch.table(central, "central-texts")
+    rows = own.join(texts, "node").join(broadcast_if_small(central, SMALL // 8), "hub").select("node", "text", "hub_text")
+    labels = scratch.table(rows.mapInArrow(_own_labels, LABELS_SQL), "own-labels")
+    return _sorted_pairs(labels, "own-found", OWN_PREFIX, scratch)[0]
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
     scratch = Scratch(spark)
@@ -272,12 +346,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = scratch.table(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.first("n").alias("n"), F.min_by("sig", "doc_id").alias("sig")), "classes")
 
-    labels = classes.select("node", "n", "sig").mapInArrow(_labels, "label binary, node long, n long")
-    ordered = labels.repartitionByRange("label", "node").sortWithinPartitions("label", "node")
-    found = scratch.table(ordered.mapInArrow(_neighbours(True), "kind string, a long, b long, label binary, n long"), "found")
-    border = found.where("kind = 'border'").select("label", F.col("a").alias("node"), "n").distinct().coalesce(1).sortWithinPartitions("label", "node")
-    across = border.mapInArrow(_neighbours(False), "kind string, a long, b long, label binary, n long")
-    near = found.where("kind = 'pair'").select("a", "b").union(across.where("kind = 'pair'").select("a", "b")).where("a != b").distinct().withColumn("place", F.lit(1))
+    near, found = _sorted_pairs(classes.select("node", "n", "sig").mapInArrow(_labels, LABELS_SQL), "found", PREFIX, scratch)
+    near = near.withColumn("place", F.lit(1))
     crowd = scratch.table(found.where("kind = 'crowd'").select(F.substring("label", 1, PREFIX).alias("region"), "label", F.col("a").alias("node")), "crowd")
     hubs = scratch.table(_hubs(crowd, scratch), "hubs")
     pairs = scratch.table(near.union(_hub_pairs(crowd, hubs).withColumn("place", F.lit(0))).groupBy("a", "b").agg(F.min("place").alias("place")), "pairs")
@@ -290,7 +360,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     links, comp, left = None, None, pairs
     for turn in range(3):
         if turn == 1:
-            left = left.union(_rest_pairs(crowd, hubs, comp).join(broadcast_if_small(picked, SMALL), ["a", "b"], "left_anti").withColumn("place", F.lit(2))).groupBy("a", "b").agg(F.min("place").alias("place"))
+            rest, told = _rest(crowd, hubs, comp)
+            rest = scratch.table(rest, "rest")
+            more = scratch.table(_rest_pairs(rest, told).union(_own_pairs(crowd, hubs, rest, texts, scratch)).distinct(), "more")
+            scratch.drop("rest", "open", "own", "central-texts", "own-labels", "own-found")
+            left = left.union(more.join(broadcast_if_small(picked, SMALL), ["a", "b"], "left_anti").withColumn("place", F.lit(2))).groupBy("a", "b").agg(F.min("place").alias("place"))
         if turn:
             own = F.broadcast(comp) if is_small(comp, SMALL) else comp
             of = lambda end: own.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))  # noqa: B023, E731
@@ -315,5 +389,5 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     out = signed.select("doc_id", "n", "digest").join(broadcast_if_small(moved, SMALL), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
-    scratch.drop("nodes", "texts", "pairs", "classes", "crowd", "hubs")
+    scratch.drop("nodes", "texts", "pairs", "classes", "crowd", "hubs", "more")
     return out

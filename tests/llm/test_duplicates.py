@@ -63,6 +63,35 @@ def test_large_group_of_edited_copies(spark):
     assert len({got[2000 + k] for k in range(300)}) == 1
 
 
+@pytest.mark.parametrize("shared", [2, 3, 5])
+def test_pairs_under_a_hot_template(spark, shared):
+    """All rows hold a template that alone makes no link; two and two share some words besides."""
+    rng = random.Random(31)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template, rows = own(75), []
+    for k in range(150):
+        both = own(shared)
+        rows += [(2 * k + j, " ".join([*template, *both, *own(14 - shared)])) for j in range(2)]
+    rows += [(300 + k, " ".join([*template, *own(14)])) for k in range(900)]
+    sets = [shingle_set(t) for _, t in rows]
+    assert all(100 * len(x & y) >= 75 * len(x | y) for x, y in zip(sets[:300:2], sets[1:300:2], strict=True))
+    assert 100 * len(sets[0] & sets[-1]) < 75 * len(sets[0] | sets[-1])
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(c in (i, i - i % 2) if i < 300 else c == i for i, c in got.items())
+    found = sum(got[2 * k + 1] == 2 * k for k in range(150))
+    print(f"{found} of 150 pairs that share {shared} words besides")
+    assert found >= {2: 135, 3: 145, 5: 150}[shared]
+
+
+def test_truncated_copies_in_a_crowd(spark):
+    """Beginnings of one text, of many lengths: those of a similar length are linked, the shortest only in a chain."""
+    rng = random.Random(32)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(400)]
+    rows = [(k, " ".join(words[: 60 + k])) for k in range(0, 340, 3)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes({i: shingle_set(t) for i, t in rows})
+
+
 def test_near_duplicates_odd_rows(spark, docs, no_docs, docs_rows):
     got = sorted(map(tuple, neardup.near_duplicates(spark, docs).collect()), key=str)
     want = []
