@@ -9,7 +9,7 @@ link is confirmed on the full sets. The steps:
 3. Forest: ORDERS sorted orders of the signatures, each begun at another hash. Neighbours in an order that
    share their first FLOOR values are candidates. Depth adapts to the region: where few share a prefix, rows up
    to NEAR places apart are candidates; where many do (a crowded region), only the DENSE next ones, which there
-   share the longest prefixes. Orders are range-partitioned by their full labels, so a region of any size is
+   share the longest prefixes, and these only if the first round has not made them one component. Orders are range-partitioned by their full labels, so a region of any size is
    spread over tasks; the rows at partition borders are compared in a second small pass.
 4. Crowded regions are mostly edited copies of one text, which are closer to that text than to each other. The
    text's own label is the commonest one of the region in every order. So each member is also a candidate with
@@ -137,12 +137,12 @@ def _labels(batches):
 
 
 def _own_labels(batches):
-    """(node, text, hub_text) to labels of what a text has beyond its hub's, or lacks of it: a value in 32 bits, the next ones in 16."""
+    """(node, c, text, hub_text) to labels of what a text has beyond its hub's, or lacks of it: a value in 32 bits, the next ones in 16."""
     known, stride = WordHashes(), HASHES // ORDERS
     hubs: dict[str, np.ndarray] = {}
     for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
-        nodes, sizes, kinds, sigs = [], [], [], []
-        for node, text, hub in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        nodes, sizes, components_, kinds, sigs = [], [], [], [], []
+        for node, c, text, hub in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if hub not in hubs:
                 if len(hubs) > 256:
                     hubs.clear()
@@ -155,6 +155,7 @@ def _own_labels(batches):
             if len(own):
                 nodes.append(node)
                 sizes.append(len(values))
+                components_.append(c)
                 kinds.append(lacks)
                 sigs.append(minima(own))
         if not nodes:
@@ -167,7 +168,7 @@ def _own_labels(batches):
             rows[:, 1:OWN_PREFIX] = np.ascontiguousarray(part[:, :1].astype(">u4")).view(np.uint8)
             rows[:, OWN_PREFIX:] = np.ascontiguousarray(part[:, 1 : LEVELS - 1].astype(np.uint16).astype(">u2")).view(np.uint8)
             data = pa.array([r.tobytes() for r in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([data, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())], schema=LABELS)
+            yield pa.RecordBatch.from_arrays([data, *(pa.array(x, pa.int64()) for x in (nodes, sizes, components_))], schema=LABELS.append(pa.field("c", pa.int64())))
     known.clear()
     hubs.clear()
     give_back()
@@ -183,14 +184,14 @@ def _size_ok(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(x, y) >= 75 * np.maximum(x, y)
 
 
-def _neighbours(borders: bool, prefix: int = PREFIX):
-    """Rows sorted by label: candidate pairs, crowded rows, and the rows at the partition's ends."""
+def _neighbours(borders: bool, prefix: int, dense: int):
+    """Rows sorted by label: candidate pairs of different components c, crowded rows, and the rows at the partition's ends."""
 
-    def pack(kind, a, b=None, label=None, n=None):
+    def pack(kind, a, b, label=None, n=None):
         k = len(a)
         none = pa.nulls(k)
         return pa.RecordBatch.from_arrays(
-            [pa.array([kind] * k, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()) if b is not None else none.cast(pa.int64()), pa.array(label, pa.binary()) if label is not None else none.cast(pa.binary()), pa.array(n, pa.int64()) if n is not None else none.cast(pa.int64())],
+            [pa.array([kind] * k, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(label, pa.binary()) if label is not None else none.cast(pa.binary()), pa.array(n, pa.int64()) if n is not None else none.cast(pa.int64())],
             schema=OUT,
         )
 
@@ -200,14 +201,14 @@ def _neighbours(borders: bool, prefix: int = PREFIX):
             if not batch.num_rows:
                 continue
             x = np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8).reshape(-1, WIDTH)
-            node, n = batch.column("node").to_numpy(), batch.column("n").to_numpy()
+            node, n, c = (batch.column(name).to_numpy() for name in ("node", "n", "c"))
             if borders and first:
                 k = min(NEAR, len(node))
-                yield pack("border", node[:k], label=[r.tobytes() for r in x[:k]], n=n[:k])
+                yield pack("border", node[:k], c[:k], label=[r.tobytes() for r in x[:k]], n=n[:k])
             old = 0
             if carry is not None:
                 old = len(carry[1])
-                x, node, n = np.concatenate([carry[0], x]), np.concatenate([carry[1], node]), np.concatenate([carry[2], n])
+                x, node, n, c = (np.concatenate(both) for both in zip(carry[:4], (x, node, n, c), strict=True))
             crowded = np.zeros(len(node), bool)
             if len(node) > CROWD:
                 crowded[CROWD:] = (x[CROWD:, :prefix] == x[:-CROWD, :prefix]).all(axis=1)
@@ -215,8 +216,8 @@ def _neighbours(borders: bool, prefix: int = PREFIX):
                 at = np.arange(max(s, old), len(node))
                 if not len(at):
                     continue
-                ok = (x[at, :prefix] == x[at - s, :prefix]).all(axis=1) & _size_ok(n[at], n[at - s])
-                if s > DENSE:
+                ok = (x[at, :prefix] == x[at - s, :prefix]).all(axis=1) & _size_ok(n[at], n[at - s]) & (c[at] != c[at - s])
+                if s > dense:
                     ok &= ~crowded[at]
                 at = at[ok]
                 if len(at):
@@ -227,20 +228,20 @@ def _neighbours(borders: bool, prefix: int = PREFIX):
                 hit = np.flatnonzero(crowded)
                 for s in range(1, CROWD + 1):
                     thick[hit - s] = True
-                told = carry[3] if carry is not None else np.zeros(0, bool)
+                told = carry[4] if carry is not None else np.zeros(0, bool)
                 thick[: len(told)] &= ~told
                 fresh = np.flatnonzero(thick)
                 if len(fresh):
-                    yield pack("crowd", node[fresh], label=[r.tobytes() for r in x[fresh]], n=n[fresh])
+                    yield pack("crowd", node[fresh], c[fresh], label=[r.tobytes() for r in x[fresh]], n=n[fresh])
                 thick[: len(told)] |= told
             else:
                 thick = crowded
             keep = slice(max(0, len(node) - CROWD), None)
-            carry = (x[keep], node[keep], n[keep], thick[keep])
+            carry = (x[keep], node[keep], n[keep], c[keep], thick[keep])
             first = False
         if borders and carry is not None:
             k = slice(max(0, len(carry[1]) - NEAR), None)
-            yield pack("border", carry[1][k], label=[r.tobytes() for r in carry[0][k]], n=carry[2][k])
+            yield pack("border", carry[1][k], carry[3][k], label=[r.tobytes() for r in carry[0][k]], n=carry[2][k])
 
     return run
 
@@ -299,43 +300,44 @@ def _hub_pairs(crowd: DataFrame, hubs: DataFrame) -> DataFrame:
     return crowd.select("region", "node").join(broadcast_if_small(first, SMALL), "region").where("node != hub").select(*_ordered("node", "hub")).distinct()
 
 
-def _rest(crowd: DataFrame, hubs: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(region, node, c_node): crowded rows that are not linked with their region's most central row; (region, place, hub, c_hub)."""
+def _open_rows(crowd: DataFrame, hubs: DataFrame, comp: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(region, label, node, n, c, main): the rows of crowded regions that are not one component, c a row's and main the most central row's; (region, place, hub, c_hub)."""
     of = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
     told = hubs.join(of("hub"), "hub", "left").select("region", "place", "hub", F.coalesce("c_hub", "hub").alias("c_hub"))
     first = told.where("place = 0").select("region", F.col("c_hub").alias("main"))
-    rows = crowd.select("region", "node").join(of("node"), "node", "left").select("region", "node", F.coalesce("c_node", "node").alias("c_node"))
-    return rows.join(broadcast_if_small(first, SMALL), "region").where("c_node != main").select("region", "node", "c_node"), told
+    rows = crowd.join(of("node"), "node", "left").withColumn("c", F.coalesce("c_node", "node")).join(broadcast_if_small(first, SMALL), "region")
+    rows = scratch.table(rows.select("region", "label", "node", "n", "c", "main"), "rows")
+    regions = scratch.table(rows.where("c != main").select("region").distinct(), "regions")
+    return scratch.table(rows.join(broadcast_if_small(regions, SMALL), "region", "left_semi"), "open"), told
 
 
-def _rest_pairs(rest: DataFrame, told: DataFrame) -> DataFrame:
+def _rest_pairs(rows: DataFrame, told: DataFrame) -> DataFrame:
     """(a, b): crowded rows that are not linked with their region's most central row, with its further central rows."""
     further = told.where("place > 0").select("region", "hub", "c_hub")
-    return rest.join(broadcast_if_small(further, SMALL), "region").where("c_node != c_hub").select(*_ordered("node", "hub")).distinct()
+    return rows.where("c != main").join(broadcast_if_small(further, SMALL), "region").where("c != c_hub").select(*_ordered("node", "hub")).distinct()
 
 
-def _sorted_pairs(labels: DataFrame, name: str, prefix: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _sorted_pairs(labels: DataFrame, name: str, prefix: int, dense: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(a, b): neighbours in the sorted orders of the labels, over partition borders too; and all that the first pass found."""
     out = "kind string, a long, b long, label binary, n long"
-    ordered = labels.repartitionByRange("label", "node").sortWithinPartitions("label", "node")
-    found = scratch.table(ordered.mapInArrow(_neighbours(True, prefix), out), name)
-    border = found.where("kind = 'border'").select("label", F.col("a").alias("node"), "n").distinct().coalesce(1).sortWithinPartitions("label", "node")
-    across = border.mapInArrow(_neighbours(False, prefix), out)
+    ordered = labels.select("label", "node", "n", "c").repartitionByRange("label", "node").sortWithinPartitions("label", "node")
+    found = scratch.table(ordered.mapInArrow(_neighbours(True, prefix, dense), out), name)
+    border = found.where("kind = 'border'").select("label", F.col("a").alias("node"), "n", F.col("b").alias("c")).distinct().coalesce(1).sortWithinPartitions("label", "node")
+    across = border.mapInArrow(_neighbours(False, prefix, DENSE), out)
     pairs = found.where("kind = 'pair'").select("a", "b").union(across.where("kind = 'pair'").select("a", "b"))
     return pairs.where("a != b").distinct(), found
 
 
-def _own_pairs(crowd: DataFrame, hubs: DataFrame, rest: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def _own_pairs(rows: DataFrame, hubs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): rows of regions that are not one component, near each other in what they have beyond a central row."""
-    open_regions = scratch.table(rest.select("region").distinct(), "open")
-    first = hubs.where("place = 0").select("region", "hub").join(broadcast_if_small(open_regions, SMALL), "region", "left_semi")
-    votes = crowd.select("region", "node").join(broadcast_if_small(first, SMALL), "region").where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("c"))
-    own = scratch.table(votes.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub")), "own")
+    first = hubs.where("place = 0").select("region", "hub")
+    votes = rows.select("region", "node", "c").join(broadcast_if_small(first, SMALL), "region").where("node != hub").groupBy("node", "c", "hub").agg(F.count("*").alias("votes"))
+    own = scratch.table(votes.groupBy("node", "c").agg(F.max_by("hub", F.struct("votes", "hub")).alias("hub")), "own")
     central = texts.withColumnsRenamed({"node": "hub", "text": "hub_text"}).join(broadcast_if_small(own.select("hub").distinct(), SMALL), "hub", "left_semi")
     central = scratch.table(central, "central-texts")
-    rows = own.join(texts, "node").join(broadcast_if_small(central, SMALL // 8), "hub").select("node", "text", "hub_text")
-    labels = scratch.table(rows.mapInArrow(_own_labels, LABELS_SQL), "own-labels")
-    return _sorted_pairs(labels, "own-found", OWN_PREFIX, scratch)[0]
+    joined = own.join(texts, "node").join(broadcast_if_small(central, SMALL // 8), "hub").select("node", "c", "text", "hub_text")
+    labels = scratch.table(joined.mapInArrow(_own_labels, f"{LABELS_SQL}, c long"), "own-labels")
+    return _sorted_pairs(labels, "own-found", OWN_PREFIX, DENSE, scratch)[0]
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,9 +348,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = scratch.table(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.first("n").alias("n"), F.min_by("sig", "doc_id").alias("sig")), "classes")
 
-    near, found = _sorted_pairs(classes.select("node", "n", "sig").mapInArrow(_labels, LABELS_SQL), "found", PREFIX, scratch)
+    labels = classes.select("node", "n", "sig").mapInArrow(_labels, LABELS_SQL).withColumn("c", F.col("node"))
+    near, found = _sorted_pairs(labels, "found", PREFIX, 0, scratch)
     near = near.withColumn("place", F.lit(1))
-    crowd = scratch.table(found.where("kind = 'crowd'").select(F.substring("label", 1, PREFIX).alias("region"), "label", F.col("a").alias("node")), "crowd")
+    crowd = scratch.table(found.where("kind = 'crowd'").select(F.substring("label", 1, PREFIX).alias("region"), "label", F.col("a").alias("node"), "n"), "crowd")
     hubs = scratch.table(_hubs(crowd, scratch), "hubs")
     pairs = scratch.table(near.union(_hub_pairs(crowd, hubs).withColumn("place", F.lit(0))).groupBy("a", "b").agg(F.min("place").alias("place")), "pairs")
     scratch.drop("found", "central")
@@ -360,10 +363,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     links, comp, left = None, None, pairs
     for turn in range(3):
         if turn == 1:
-            rest, told = _rest(crowd, hubs, comp)
-            rest = scratch.table(rest, "rest")
-            more = scratch.table(_rest_pairs(rest, told).union(_own_pairs(crowd, hubs, rest, texts, scratch)).distinct(), "more")
-            scratch.drop("rest", "open", "own", "central-texts", "own-labels", "own-found")
+            rows, told = _open_rows(crowd, hubs, comp, scratch)
+            dense = _sorted_pairs(rows, "dense-found", PREFIX, DENSE, scratch)[0]
+            more = scratch.table(_rest_pairs(rows, told).union(dense).union(_own_pairs(rows, hubs, texts, scratch)).distinct(), "more")
+            scratch.drop("rows", "regions", "open", "dense-found", "own", "central-texts", "own-labels", "own-found")
             left = left.union(more.join(broadcast_if_small(picked, SMALL), ["a", "b"], "left_anti").withColumn("place", F.lit(2))).groupBy("a", "b").agg(F.min("place").alias("place"))
         if turn:
             own = F.broadcast(comp) if is_small(comp, SMALL) else comp
