@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 SHORT = 24
 
 
-def shortened(word: Column, deletions: int) -> Column:
-    """Hashes of what is left of a word without up to so many of its characters, the first always kept."""
-    drop = lambda w: F.transform(F.sequence(F.lit(2), F.greatest(F.length(w), F.lit(2))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+def shortened(word: Column, deletions: int, first: Column) -> Column:
+    """Hashes of what is left of a word without up to so many of its characters; those before the place `first` are kept."""
+    drop = lambda w: F.transform(F.sequence(first, F.greatest(F.length(w), first)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
     rests = step = F.array(word)
     for _ in range(deletions):
         step = F.array_distinct(F.flatten(F.transform(step, drop)))
@@ -34,14 +34,25 @@ def similar_words(words: DataFrame, vocabulary: DataFrame, distance: int = 2, mi
     unknown = left.join(vocabulary.select(F.col("token").alias("word")), "word", "left_anti")
     right = vocabulary.select("token", "df")
     short = lambda c: F.length(c) <= SHORT
-    keys = lambda rows, c: rows.where(F.length(c) <= SHORT + distance).withColumn("key", F.explode(shortened(F.col(c), distance)))
-    near = keys(unknown.where(short("word")), "word").join(keys(right, "token"), "key").drop("key")
+    # What all of one first character begin with counts for no distance, so nothing of it is left out.
+    ends = unknown.select("word").union(right.select("token")).groupBy(F.substring("word", 1, 1).alias("head")).agg(F.min("word").alias("low"), F.max("word").alias("high"))
+    same = F.filter(F.sequence(F.lit(1), F.least(F.length("low"), F.length("high"))), lambda i: F.substring("low", F.lit(1), i) == F.substring("high", F.lit(1), i))
+    ends = ends.where("head <> ''").select("head", (F.coalesce(F.array_max(same), F.lit(1)) + 1).alias("first"))
+
+    def keys(rows: DataFrame, c: str) -> DataFrame:
+        headed = rows.where(F.length(c) <= SHORT + distance).withColumn("head", F.substring(c, 1, 1)).join(F.broadcast(ends), "head")  # a row per first character
+        return headed.select(*rows.columns, F.explode(shortened(F.col(c), distance, F.col("first"))).alias("key"))
+
+    # Rests are many more than what Spark takes their size for, so neither side may be broadcast.
+    near = keys(unknown.where(short("word")), "word").hint("merge").join(keys(right, "token"), "key").drop("key")
     rest = unknown.where(~short("word")).withColumn("head", F.substring("word", 1, 1)).join(right.where(F.length("token") > SHORT - distance).withColumn("head", F.substring("token", 1, 1)), "head")
     pairs = near.unionByName(rest.drop("head")).where(F.abs(F.length("word") - F.length("token")) <= distance)
-    close = pairs.withColumn("d", F.levenshtein("word", "token", distance)).where(F.col("d").between(1, distance)).distinct()
+    close = pairs.withColumn("d", F.levenshtein("word", "token", distance)).where(F.col("d").between(1, distance))
     scored = close.withColumn("score", 1 - F.col("d") / F.least(F.length("word"), F.length("token"))).where(F.col("score") >= min_score)
-    rank = F.row_number().over(W.partitionBy("word").orderBy(F.desc("score"), F.desc("df"), "token"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= n).select("word", "rank", F.col("token").alias("option"), "score")
+    # A pair comes once for each rest it has in common. Equal pairs are of one dense rank, so each task keeps the best n before the shuffle.
+    by = W.partitionBy("word").orderBy(F.desc("score"), F.desc("df"), "token")
+    best = scored.withColumn("rank", F.dense_rank().over(by)).where(F.col("rank") <= n).select("word", "token", "df", "score").distinct()
+    return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n).select("word", "rank", F.col("token").alias("option"), "score")
 
 
 def recombine(words: Column, options: Column, n: int = 3) -> Column:

@@ -347,3 +347,13 @@ def test_embedding_of_odd_texts(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     same(catalog.queries()["v1_embedding"](spark, str(tmp_path)), con.sql(catalog.oracle_sql()["v1_embedding"]))
+
+
+def test_rests_of_words_are_not_broadcast(spark):
+    """Spark takes the rests of words to be as few as the words."""
+    names = spark.range(1500).selectExpr("concat('Customer#', lpad(id, 9, '0')) AS token", "1 AS df")
+    words = names.selectExpr("concat(substring(token, 1, 9), 'x', substring(token, 11)) AS word")
+    got = suggest.similar_words(words, names)
+    assert got.count() == 3 * 1500
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and "BroadcastHashJoin [key" not in plan
