@@ -1,16 +1,20 @@
 """Marked-up books: headings and paragraphs to nested verses and prose, and from there to chunks.
 
 Books are small and independent, so each is parsed where it is read: the markup is turned into elements with regular
-expressions, running counts over the elements tell the part and subheading each belongs to, and groups of them are fields.
+expressions, and one pass over the elements deals them to the part and subheading each belongs to.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from granary.functions.scalars import PAGE_HEADING, SECTIONS, VERSE
 
@@ -22,35 +26,52 @@ BOOK = (
 )
 
 
+_SPACES = {0xA0: " ", 0x2009: " ", 0x202F: " ", 0x200B: None, 0xFEFF: None}
+
+
 def clean(text: str) -> str:
-    text = text.translate({0xA0: " ", 0x2009: " ", 0x202F: " ", 0x200B: None, 0xFEFF: None})
-    return re.sub(" +", " ", text).strip()
+    if not text.isascii():
+        text = text.translate(_SPACES)
+    return (re.sub(" +", " ", text) if "  " in text else text).strip()
 
 
-def elements(markdown: str) -> list[tuple[str, str]]:
-    """(tag, text) of the blocks of a text: headings, paragraphs, lists and quotes."""
-    out: list[tuple[str, str]] = []
-    lines: list[str] = []
+_HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*$")
+_EMPHASIS = re.compile(r"(\*\*|__|\*|`)(\S(?:.*?\S)?)\1")
+_BULLET, _NUMBER, _QUOTE = re.compile(r"[-*+] "), re.compile(r"\d+\. "), re.compile(r"> ?")
 
-    def flush() -> None:
-        if lines:
-            marks = {line[:1] for line in lines}
-            tag = "blockquote" if marks == {">"} else "ul" if all(re.match(r"[-*+] ", x) for x in lines) else "ol" if all(re.match(r"\d+\. ", x) for x in lines) else "p"
-            strip = {"blockquote": r"^> ?", "ul": r"^[-*+] ", "ol": r"^\d+\. ", "p": r"^"}[tag]
-            out.append((tag, "\n".join(re.sub(strip, "", x) for x in lines)))
-            lines.clear()
 
+def _block(lines: list[str]) -> tuple[str, str]:
+    if all(x[:1] == ">" for x in lines):
+        tag, mark = "blockquote", _QUOTE
+    elif all(map(_BULLET.match, lines)):
+        tag, mark = "ul", _BULLET
+    elif all(map(_NUMBER.match, lines)):
+        tag, mark = "ol", _NUMBER
+    else:
+        return "p", "\n".join(lines)
+    return tag, "\n".join(x[mark.match(x).end() :] for x in lines)
+
+
+def _blocks(markdown: str) -> Iterator[tuple[str, str]]:
+    lines: list[str] = []
     for line in markdown.split("\n"):
-        heading = re.match(r"^(#{1,6})\s+(.*?)\s*#*$", line)
-        if heading:
-            flush()
-            out.append((f"h{len(heading[1])}", heading[2]))
-        elif not line.strip():
-            flush()
-        else:
+        heading = _HEADING.match(line) if line[:1] == "#" else None
+        if not heading and line.strip():
             lines.append(line.rstrip())
-    flush()
-    return [(t, re.sub(r"(\*\*|__|\*|`)(\S(?:.*?\S)?)\1", r"\2", x)) for t, x in out]
+            continue
+        if lines:
+            yield _block(lines)
+            lines = []
+        if heading:
+            yield f"h{len(heading[1])}", heading[2]
+    if lines:
+        yield _block(lines)
+
+
+def elements(markdown: str) -> Iterator[tuple[str, str]]:
+    """(tag, text) of the blocks of a text: headings, paragraphs, lists and quotes."""
+    for tag, text in _blocks(markdown):
+        yield tag, _EMPHASIS.sub(r"\2", text) if "*" in text or "_" in text or "`" in text else text
 
 
 def html_elements(html: Column) -> Column:
@@ -65,64 +86,87 @@ def html_elements(html: Column) -> Column:
 TEXTUAL = ("p", "ul", "ol", "blockquote")
 
 
-def outline(markdown: str) -> pd.DataFrame:
-    """The elements of a book with where each stands: part (by headings of level 1 and 2), sub (by those of level 3 in it, 0 before the first), adhikar."""
-    rows = pd.DataFrame([(t, clean(x)) for t, x in elements(markdown)], columns=["tag", "text"])
-    rows["part"] = rows.tag.isin(["h1", "h2"]).cumsum()
-    rows["sub"] = rows.tag.eq("h3").groupby(rows.part).cumsum().astype(int)
-    rows["adhikar"] = rows.text.where(rows.tag.eq("h1")).ffill()
-    return rows
+@dataclass
+class Part:
+    """What stands below a heading of level 1 or 2: the elements before its first heading of level 3, and below each of these."""
+
+    tag: str
+    title: str
+    adhikar: str | None
+    start: list[tuple[str, str]] = field(default_factory=list)
+    subs: list[tuple[str, list[tuple[str, str]]]] = field(default_factory=list)
+
+
+def outline(markdown: str) -> Iterator[Part]:
+    """The parts of a book in order, in one pass; what stands before the first belongs to none. adhikar: the last heading of level 1."""
+    part, adhikar = None, None
+    for tag, text in elements(markdown):
+        text = clean(text)
+        if tag in ("h1", "h2"):
+            if part:
+                yield part
+            adhikar = text if tag == "h1" else adhikar
+            part = Part(tag, text, adhikar)
+        elif part and tag == "h3":
+            part.subs.append((text, []))
+        elif part:
+            (part.subs[-1][1] if part.subs else part.start).append((tag, text))
+    if part:
+        yield part
+
+
+_PAGE, _VERSE = re.compile(PAGE_HEADING), re.compile(VERSE)
 
 
 def _page(title: str) -> int | None:
-    found = re.match(PAGE_HEADING, title)
+    found = _PAGE.match(title)
     return int(found[1]) if found else None
 
 
-def _texts(rows: pd.DataFrame, tags: tuple[str, ...]) -> list[str]:
-    return rows.text[rows.tag.isin(tags) & rows.text.ne("")].tolist()
+def _texts(rows: list[tuple[str, str]], tags: tuple[str, ...]) -> list[str]:
+    return [text for tag, text in rows if tag in tags and text]
 
 
-def _verse(found: re.Match, rows: pd.DataFrame) -> dict:
+def _verse(found: re.Match, part: Part) -> dict:
     fields: dict[str, list[str]] = {}
-    for _, sub in rows[rows["sub"] > 0].groupby("sub"):
-        name = sub.text.iloc[0]
+    for name, rows in part.subs:
         if name not in SECTIONS and _page(name) is None:
             raise ValueError(f"{name!r} is no section of a verse")
-        fields[name] = _texts(sub, TEXTUAL)
+        fields[name] = _texts(rows, TEXTUAL)
     pages = [p for name in fields if (p := _page(name)) is not None]
     one = lambda name: clean("\n".join(fields.get(name, [])))
     first = int(found[2])
     return {
-        "verse": clean("\n".join(_texts(rows[rows["sub"] == 0], ("p",)))), "type": found[1].capitalize(), "type_start_num": first, "type_end_num": int(found[3] or first),
+        "verse": clean("\n".join(_texts(part.start, ("p",)))), "type": found[1].capitalize(), "type_start_num": first, "type_end_num": int(found[3] or first),
         "translation": one("Translation"), "language": "Hindi", "meaning": one("Meaning"), "teeka": fields.get("Teeka", []), "bhavarth": fields.get("Bhavarth", []), "page_num": pages[0] if pages else None,
     }
 
 
-def _prose(title: str, rows: pd.DataFrame, adhikar: str | None) -> dict | None:
-    heads = rows[rows.tag.eq("h3")].set_index("sub").text
-    pages = heads.map(_page).dropna()
-    # What stands below a page's number belongs to the section itself.
-    own = rows["sub"].eq(0) | rows["sub"].isin(pages.index)
-    subs = [{"heading": heads[k], "content": texts, "page_num": None, "adhikar": adhikar} for k, sub in rows[~own].groupby("sub") if (texts := _texts(sub, ("p",)))]
-    content = _texts(rows[own], ("p",))
-    return {"heading": title, "content": content, "subsections": subs, "page_num": int(pages.iloc[-1]) if len(pages) else None} if content or subs else None
+def _prose(part: Part) -> dict | None:
+    content, subs, page = _texts(part.start, ("p",)), [], None
+    for head, rows in part.subs:
+        number, texts = _page(head), _texts(rows, ("p",))
+        if number is not None:
+            # What stands below a page's number belongs to the section itself.
+            page = number
+            content += texts
+        elif texts:
+            subs.append({"heading": head, "content": texts, "page_num": None, "adhikar": part.adhikar})
+    return {"heading": part.title, "content": content, "subsections": subs, "page_num": page} if content or subs else None
 
 
 def parse_book(markdown: str) -> dict:
     """Verses and prose sections under one shared numbering; a heading of level 1 counts for all that follows."""
     book: dict[str, list[dict]] = {"verses": [], "prose_sections": []}
     seq = 1
-    for part, rows in outline(markdown).groupby("part"):
-        if part == 0 or rows.tag.iloc[0] == "h1":
+    for part in outline(markdown):
+        if part.tag == "h1":
             continue
-        title, adhikar = rows.text.iloc[0], rows.adhikar.iloc[0]
-        adhikar = None if pd.isna(adhikar) else adhikar
-        found = re.match(VERSE, title)
-        one = _verse(found, rows.iloc[1:]) if found else _prose(title, rows.iloc[1:], adhikar)
+        found = _VERSE.match(part.title)
+        one = _verse(found, part) if found else _prose(part)
         if one is None:
             continue
-        book["verses" if found else "prose_sections"].append(one | {"seq_num": seq, "adhikar": adhikar})
+        book["verses" if found else "prose_sections"].append(one | {"seq_num": seq, "adhikar": part.adhikar})
         for place, sub in enumerate(one.get("subsections", ()), seq + 1):
             sub["seq_num"] = place
         seq += 1 + len(one.get("subsections", ()))
@@ -131,10 +175,12 @@ def parse_book(markdown: str) -> dict:
 
 def parse_books(markdown) -> Column:
     """A struct of a book's verses and prose sections."""
+    shape = to_arrow_type(StructType.fromDDL(BOOK))
 
-    @F.pandas_udf(BOOK)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_book(m or "") for m in texts], columns=["verses", "prose_sections"])
+    @F.arrow_udf(BOOK)
+    def run(texts: pa.Array) -> pa.Array:
+        # Each book is turned into Arrow at once, so the objects of one book are there at a time.
+        return pa.concat_arrays([pa.array([parse_book(m.as_py() or "")], shape) for m in texts] or [pa.array([], shape)])
 
     return run(markdown)
 
@@ -151,34 +197,51 @@ def prose_by_number(sections: Column, seq: Column) -> Column:
     return F.coalesce(F.get(own, F.lit(0)), F.get(below, F.lit(0)))
 
 
+def _verse_parts(v: Column) -> Column:
+    """The fields of a verse as chunks; array fields keep the place of their elements."""
+
+    def part(name: str, text: Column, at: Column | None = None) -> Column:
+        chunk_id = F.concat_ws("_", "granth_id", F.concat(F.lit("v"), v["seq_num"]), F.lit(name), *([at.cast("string")] if at is not None else []))
+        return F.struct(chunk_id.alias("chunk_id"), F.concat_ws("_", F.lit(name), v["seq_num"].cast("string")).alias("paragraph_id"), v["page_num"].alias("page_num"), v["adhikar"].alias("adhikar"), text.alias("text"), F.lit(at is not None).alias("embed"))
+
+    many = lambda name: F.transform(v[name], lambda x, i: part(name, x, i))
+    return F.flatten(F.array_compact(F.array(F.array(*[part(name, v[name]) for name in ("verse", "translation", "meaning")]), many("teeka"), many("bhavarth"))))
+
+
+def _prose_parts(s: Column) -> Column:
+    """The paragraphs of a section and its subsections as chunks; a subsection without a page has its parent's."""
+
+    def parts(of: Column, place: Column, page: Column) -> Column:
+        def part(text: Column, i: Column) -> Column:
+            chunk_id = F.concat_ws("_", F.col("granth_id"), place, F.lit("content"), i.cast("string"))
+            paragraph_id = F.concat_ws("_", F.lit("prose"), of["seq_num"].cast("string"), F.lit("content"), i.cast("string"))
+            return F.struct(chunk_id.alias("chunk_id"), paragraph_id.alias("paragraph_id"), page.alias("page_num"), of["adhikar"].alias("adhikar"), text.alias("text"), F.lit(True).alias("embed"))
+
+        return F.transform(of["content"], part)
+
+    own = F.concat(F.lit("p"), s["seq_num"])
+    below = F.transform(s["subsections"], lambda u: parts(u, F.concat(own, F.lit("_sub"), u["seq_num"]), F.coalesce(u["page_num"], s["page_num"])))
+    return F.flatten(F.array_compact(F.array(parts(s, own, s["page_num"]), F.flatten(F.array_compact(below)))))
+
+
+def _chunks(items: DataFrame, parts: Column) -> DataFrame:
+    rows = items.select("granth_id", F.explode(parts).alias("p")).select("granth_id", "p.*").where(F.trim("text") != "")
+    return rows.select("chunk_id", "granth_id", "paragraph_id", "page_num", "adhikar", "text", "embed")
+
+
 def verse_chunks(books: DataFrame) -> DataFrame:
     """One row per non-blank field of a verse; array fields keep the place of their elements. books: granth_id, verses."""
-    verses = books.select("granth_id", F.explode("verses").alias("v"))
-    field = lambda name, embed: F.struct(F.lit(name).alias("field"), F.lit(None).cast("int").alias("at"), F.col(f"v.{name}").alias("text"), F.lit(embed).alias("embed"))
-    many = lambda name: F.transform(F.col(f"v.{name}"), lambda x, i: F.struct(F.lit(name).alias("field"), i.alias("at"), x.alias("text"), F.lit(True).alias("embed")))
-    parts = F.concat(F.array(field("verse", False), field("translation", False), field("meaning", False)), many("teeka"), many("bhavarth"))
-    rows = verses.select("granth_id", "v.seq_num", "v.page_num", "v.adhikar", F.explode(parts).alias("p")).select("*", "p.*").drop("p")
-    rows = rows.where(F.trim("text") != "")
-    tail = F.when(F.col("at").isNotNull(), F.concat(F.lit("_"), F.col("at")))
-    return rows.select(
-        F.concat(F.concat_ws("_", "granth_id", F.concat(F.lit("v"), F.col("seq_num")), "field"), F.coalesce(tail, F.lit(""))).alias("chunk_id"),
-        "granth_id", F.concat_ws("_", "field", "seq_num").alias("paragraph_id"), "page_num", "adhikar", "text", "embed",
-    )
+    return _chunks(books.select("granth_id", F.explode("verses").alias("v")), _verse_parts(F.col("v")))
 
 
 def prose_chunks(books: DataFrame) -> DataFrame:
     """One row per non-blank paragraph of a section or subsection; a subsection without a page has its parent's."""
-    sections = books.select("granth_id", F.explode("prose_sections").alias("s"))
-    own = sections.select("granth_id", F.col("s.page_num").alias("page_num"), F.col("s.adhikar").alias("adhikar"), F.concat(F.lit("p"), F.col("s.seq_num")).alias("place"), F.col("s.seq_num").alias("seq"), F.posexplode("s.content").alias("i", "text"))
-    sub = sections.select("granth_id", "s", F.explode("s.subsections").alias("u")).select(
-        "granth_id", F.coalesce("u.page_num", "s.page_num").alias("page_num"), F.col("u.adhikar").alias("adhikar"),
-        F.concat(F.lit("p"), F.col("s.seq_num"), F.lit("_sub"), F.col("u.seq_num")).alias("place"), F.col("u.seq_num").alias("seq"), F.posexplode("u.content").alias("i", "text"),
-    )
-    return own.unionByName(sub).where(F.trim("text") != "").select(
-        F.concat_ws("_", "granth_id", "place", F.lit("content"), "i").alias("chunk_id"), "granth_id",
-        F.concat_ws("_", F.lit("prose"), "seq", F.lit("content"), "i").alias("paragraph_id"), "page_num", "adhikar", "text", F.lit(True).alias("embed"),
-    )
+    return _chunks(books.select("granth_id", F.explode("prose_sections").alias("s")), _prose_parts(F.col("s")))
 
 
 def book_chunks(books: DataFrame) -> DataFrame:
-    return verse_chunks(books).unionByName(prose_chunks(books), allowMissingColumns=True)
+    """The chunks of both kinds; the books are gone through once."""
+    verses = F.transform("verses", lambda v: F.struct(v.alias("v"), F.get("prose_sections", F.lit(-1)).alias("s")))
+    prose = F.transform("prose_sections", lambda s: F.struct(F.get("verses", F.lit(-1)).alias("v"), s.alias("s")))
+    items = books.select("granth_id", F.explode(F.flatten(F.array_compact(F.array(verses, prose)))).alias("x")).select("granth_id", "x.*")
+    return _chunks(items, F.when(F.col("v").isNotNull(), _verse_parts(F.col("v"))).otherwise(_prose_parts(F.col("s"))))

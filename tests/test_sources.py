@@ -357,3 +357,22 @@ def test_rests_of_words_are_not_broadcast(spark):
     assert got.count() == 3 * 1500
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [key" in plan and "BroadcastHashJoin [key" not in plan
+
+
+def test_a_book_of_many_sections(spark):
+    """Time grows with the sections; chunks of both kinds come from one pass over the books."""
+    import time
+
+    verse = "## Gatha {0}\n\nमूल\n\n### Teeka\n\nपहली\n\nदूसरी\n\n### Page Number - {0}"
+    prose = "## शीर्षक {0}\n\nपैरा\n\n### उपखंड\n\nनीचे"
+    text = "# अधिकार\n\n" + "\n\n".join((verse if k % 2 else prose).format(k) for k in range(10_000))
+    begun = time.process_time()
+    book = books.parse_book(text)
+    assert time.process_time() - begun < 5
+    assert len(book["verses"]) == len(book["prose_sections"]) == 5000
+    frame = spark.createDataFrame([("b", text)], "granth_id string, markdown string").select("granth_id", books.parse_books("markdown").alias("b")).select("granth_id", "b.*")
+    chunks = books.book_chunks(frame)
+    assert [chunks.where(f"embed = {e}").count() for e in ("true", "false")] == [20_000, 5000]
+    assert chunks._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    both = books.verse_chunks(frame).unionByName(books.prose_chunks(frame))
+    assert chunks.exceptAll(both).count() == both.exceptAll(chunks).count() == 0
