@@ -83,6 +83,41 @@ def test_pairs_under_a_hot_template(spark, shared):
     assert found >= {2: 135, 3: 145, 5: 150}[shared]
 
 
+def test_crowded_regions_lose_no_link(spark):
+    """Near the threshold under a hot template, where neighbours in sorted orders do not find all."""
+    rng = random.Random(33)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template, rows = own(75), []
+    for k in range(200):
+        both = own(2)
+        rows += [(2 * k + j, " ".join([*template, *both, *own(12)])) for j in range(2)]
+    rows += [(400 + k, " ".join([*template, *own(14)])) for k in range(800)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 if i < 400 else i for i in got}
+
+
+def test_shared_parts_of_differences():
+    """Any two linked sets, not both linked with a third, share a value in the first parts of their differences from it."""
+    rng = np.random.default_rng(34)
+    linked = 0
+    for _ in range(3000):
+        central = np.unique(rng.integers(0, 2**63, rng.integers(1, 60), dtype=np.uint64))
+        base = rng.choice(central, max(1, int(len(central) * rng.uniform(0.4, 1))), replace=False)
+        base = np.concatenate([base, rng.integers(0, 2**63, rng.integers(0, 25), dtype=np.uint64)])
+        x, y = (np.unique(np.concatenate([base[rng.random(len(base)) < 0.93], rng.integers(0, 2**63, rng.integers(0, 5), dtype=np.uint64)])) for _ in range(2))
+        if not len(x) or not len(y):
+            continue
+        link = lambda p, q: 100 * len(np.intersect1d(p, q)) >= 75 * len(np.union1d(p, q))
+        far = [not link(p, central) for p in (x, y)]
+        diffs = [neardup.difference(p, central) for p in (x, y)]
+        assert far == [7 * len(d) > len(p) + len(central) for p, d in zip((x, y), diffs, strict=True)]
+        if link(x, y) and any(far):
+            linked += 1
+            first = [set(d[: len(d) - neardup.least_shared(len(p), len(d), len(central), f) + 1].tolist()) for p, d, f in zip((x, y), diffs, far, strict=True)]
+            assert first[0] & first[1]
+    assert linked > 300
+
+
 def test_truncated_copies_in_a_crowd(spark):
     """Beginnings of one text, of many lengths: those of a similar length are linked, the shortest only in a chain."""
     rng = random.Random(32)
