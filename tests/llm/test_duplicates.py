@@ -118,6 +118,24 @@ def test_shared_parts_of_differences():
     assert linked > 300
 
 
+def test_second_template_under_a_hot_one(spark):
+    """What many rows share besides the central row makes no candidates of them; linked rows remain ones."""
+    rng = random.Random(35)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template, second, rows = own(100), own(20), []
+    for k in range(300):
+        rest = own(60)
+        rows += [(2 * k + j + 1, " ".join([*template[:40], *second, *rest[:-1], *(own(1) if k < 10 else own(30))])) for j in range(2)]
+    scratch = Scratch(spark)
+    texts = scratch.table(spark.createDataFrame([(0, " ".join(template)), *rows], "node long, text string"), "texts")
+    open_rows = spark.createDataFrame([(i, i, 0, 0) for i, _ in rows], "node long, c long, hub long, c_hub long")
+    got = {(r.a, r.b) for r in neardup._rest_pairs(open_rows, texts, scratch).collect()}
+    sets = {i: shingle_set(t) for i, t in rows}
+    linked = {(2 * k + 1, 2 * k + 2) for k in range(300) if 100 * len(sets[2 * k + 1] & sets[2 * k + 2]) >= 75 * len(sets[2 * k + 1] | sets[2 * k + 2])}
+    assert linked >= {(2 * k + 1, 2 * k + 2) for k in range(10)}
+    assert linked <= got and len(got) <= 10 * len(rows)
+
+
 def test_truncated_copies_in_a_crowd(spark):
     """Beginnings of one text, of many lengths: those of a similar length are linked, the shortest only in a chain."""
     rng = random.Random(32)
