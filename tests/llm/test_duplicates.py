@@ -432,6 +432,35 @@ def test_passages_around_a_frequent_line(spark):
     assert sum(k in got and 500 + k in got and got[500 + k].class_id == k for k in range(20)) >= 19
 
 
+def test_passages_between_decoys_of_a_frequent_line(spark):
+    """Many documents share the line and what is on one side of it with a pair, so no order brings the pair together."""
+    rng = random.Random(9)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, rows = text(30), []
+    for _ in range(12):
+        before, behind = text(10), text(10)
+        pair = [[*text(50), *before, *line, *behind, *text(50)] for _ in range(2)]
+        rows += pair + [[*text(50), *before, *line, *text(60)] for _ in range(30)] + [[*text(60), *line, *behind, *text(50)] for _ in range(30)]
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    rows = [(order[k], " ".join(w)) for k, w in enumerate(rows)]
+    got = {r.doc_id: r for r in passages.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = [sorted((rows[k][0], rows[k + 1][0])) for k in range(0, len(rows), 62)]
+    found = sum(a in got and b in got and got[a].class_id == got[b].class_id == a for a, b in pairs)
+    assert found == len(pairs) and set(got) == {i for p in pairs for i in p}
+    assert all(any(s.first_word <= 50 and s.first_word + s.n_words >= 100 for s in got[i].passages) for p in pairs for i in p)
+
+
+def test_passages_in_another_order(spark):
+    """Two passages around one line, in one document the other way round: no window is paired with the wrong one only."""
+    rng = random.Random(10)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    one, other = text(60), text(60)
+    rows = [(1, " ".join([*text(30), *one, *text(70), *other, *text(30)])), (2, " ".join([*text(30), *other, *text(70), *one, *text(30)]))]
+    got = covered(passages.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert set(range(30, 90)) | set(range(160, 220)) <= got[1] and set(range(30, 90)) | set(range(160, 220)) <= got[2]
+
+
 def covered(rows):
     return {r.doc_id: {p for s in r.passages for p in range(s.first_word, s.first_word + s.n_words)} for r in rows}
 
