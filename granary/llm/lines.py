@@ -26,18 +26,20 @@ with a dropped line are rewritten.
 Lines are split at \\n, tokens at ASCII white space. Null or empty texts have no lines to drop and stay as they are.
 Repeated rows count as copies of one document. A text that loses all its lines with words becomes empty; clean_lines
 leaves such rows out if asked. Other columns are kept, whatever their names; ids may repeat or be null; an empty table
-gives no rows. Very long texts are read whole, a text at a time. Nothing here depends on an order, so there are no ties.
+gives no rows. Very long texts are read whole, a text at a time; short ones are parsed some at a time. Nothing here depends on an order, so there are no ties.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from granary.llm.common import Scratch, broadcast_if_small, give_back
 from granary.llm.neardup import SHINGLE, WordHashes, mix
@@ -51,10 +53,12 @@ SKETCHES = 8
 ATTACHED = 3
 ERROR = 0.005
 SMALL = 500_000
+#: Characters of texts that are parsed together.
+TOGETHER = 65_536
 
 _DIGIT = re.compile(rb"[0-9]").search
 _P = np.uint64(0x9E3779B97F4A7C15)
-_VARIABLE = np.uint64(0x5851F42D4C957F2D)
+_ANY = 0x5851F42D4C957F2D
 _RNG = np.random.Generator(np.random.PCG64(4711))
 _A = _RNG.integers(0, 1 << 31, SKETCHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, SKETCHES, dtype=np.uint32)
@@ -65,16 +69,15 @@ class TokenHashes(WordHashes):
     """Token to hash; tokens with a digit are all the variable token."""
 
     def __missing__(self, word: bytes) -> int:
-        if _DIGIT(word):
-            if len(self) > 400_000:
-                self.clear()
-            self[word] = int(_VARIABLE)
-            return self[word]
-        return super().__missing__(word)
+        h = xxh3_64_intdigest(word) if word.isalpha() or not _DIGIT(word) else _ANY
+        if len(self) > 400_000:
+            self.clear()
+        self[word] = h
+        return h
 
 
-def sketches(tokens: np.ndarray, start: np.ndarray, sizes: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Per line the SKETCHES minima of the shingles of the text's other lines, 32 bits each; equal lines are one line."""
+def sketches(tokens: np.ndarray, start: np.ndarray, sizes: np.ndarray, line: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Per line the SKETCHES minima of the shingles of its text's other lines, 32 bits each; equal lines are one line. text: growing numbers of the texts."""
     n = max(1, len(tokens) - SHINGLE + 1)
     runs = tokens[:n].copy()
     for k in range(1, min(SHINGLE, len(tokens))):
@@ -87,26 +90,38 @@ def sketches(tokens: np.ndarray, start: np.ndarray, sizes: np.ndarray, line: np.
     few = sizes < SHINGLE
     value[first[few]] = line[few]
     value = (mix(value) >> np.uint64(32)).astype(np.uint32)
+    begin = np.concatenate([[0], np.flatnonzero(text[1:] != text[:-1]) + 1])
+    owner = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(text)))
+    lines = np.arange(len(sizes))
     out = np.empty((len(sizes), SKETCHES), np.uint32)
     step = max(1, min(SKETCHES, 1_000_000 // len(value)))
     for k in range(0, SKETCHES, step):
-        h = (value ^ _B[k : k + step, None]) * _A[k : k + step, None]
+        h = value ^ _B[k : k + step, None]
+        h *= _A[k : k + step, None]
         least = np.minimum.reduceat(h, first, axis=1)
-        own = line == line[least.argmin(axis=1)][:, None]
-        out[:, k : k + step] = np.where(own, np.where(own, _MOST, least).min(axis=1)[:, None], least.min(axis=1)[:, None]).T
+        most = np.minimum.reduceat(least, begin, axis=1)[:, owner]
+        # The first line that has its text's minimum, and lines equal to it, have the minimum of the others.
+        at = np.minimum.reduceat(np.where(least == most, lines, len(lines)), begin, axis=1)
+        own = line == line[at][:, owner]
+        others = np.minimum.reduceat(np.where(own, _MOST, least), begin, axis=1)[:, owner]
+        out[:, k : k + step] = np.where(own, others, most).T
     return out
 
 
-def parse(text: str | None, known: TokenHashes) -> tuple[np.ndarray, ...]:
-    """Per line with tokens: its number, its leaf, its hash and its number of tokens; further all tokens and each line's sketches."""
-    parts = [line.split() for line in (text or "").encode().split(b"\n")]
+def parse(texts: list[str | None], known: TokenHashes) -> tuple[np.ndarray, ...]:
+    """Per line with tokens: the place of its text, its number there, its leaf, its hash and its number of tokens; further all tokens and each line's sketches."""
+    split = [(text or "").encode().split(b"\n") for text in texts]
+    parts = [line.split() for lines in split for line in lines]
+    counts = np.fromiter(map(len, split), np.int64, len(split))
+    text = np.repeat(np.arange(len(split)), counts)
+    number = np.arange(len(parts)) - np.repeat(np.cumsum(counts) - counts, counts)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    number = np.flatnonzero(sizes)
-    sizes = sizes[number]
+    kept = np.flatnonzero(sizes)
+    text, number, sizes = text[kept], number[kept], sizes[kept]
     n = int(sizes.sum())
     if not n:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none.view(np.uint64), np.zeros((0, SKETCHES), np.uint32)
+        return none, none, none, none, none, none.view(np.uint64), np.zeros((0, SKETCHES), np.uint32)
     tokens = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.uint64, n)
     start = np.cumsum(sizes) - sizes
     leaf = sizes.astype(np.uint64)
@@ -115,21 +130,31 @@ def parse(text: str | None, known: TokenHashes) -> tuple[np.ndarray, ...]:
     place = (np.arange(n) - np.repeat(start, sizes)).astype(np.uint64)
     whole = np.add.reduceat(mix(tokens + place * _P), start)
     line = mix(whole + leaf)
-    return number, mix(leaf).view(np.int64), line.view(np.int64), sizes, tokens, sketches(tokens, start, sizes, line)
+    return text, number, mix(leaf).view(np.int64), line.view(np.int64), sizes, tokens, sketches(tokens, start, sizes, line, text)
 
 
 LINES = "doc long, copy long, number int, leaf long, line long, sketch array<int>, tokens array<long>"
 
 
+def _together(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Begins and ends of runs of texts of TOGETHER characters or little more."""
+    first = chars = 0
+    for k, text in enumerate(texts, 1):
+        chars += len(text or "")
+        if chars >= TOGETHER or k == len(texts):
+            yield first, k
+            first, chars = k, 0
+
+
 def _lines(batches):
     known = TokenHashes()
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
-        found = []
-        for doc, copy, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            number, leaf, line, sizes, tokens, sketch = parse(text, known)
-            n = len(sizes)
-            found.append((np.full(n, doc), np.full(n, copy), number, leaf, line, sketch.view(np.int32).ravel(), sizes, tokens.view(np.int64)))
+        found, texts = [], batch.column(2).to_pylist()
+        doc, copy = (batch.column(k).to_numpy() for k in range(2))
+        for a, b in _together(texts):
+            text, number, leaf, line, sizes, tokens, sketch = parse(texts[a:b], known)
+            found.append((doc[a + text], copy[a + text], number, leaf, line, sketch.view(np.int32).ravel(), sizes, tokens.view(np.int64)))
         *columns, sketch, sizes, tokens = (np.concatenate(c) for c in zip(*found, strict=True))
         lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat)) for n, flat in ((np.full(len(sizes), SKETCHES), sketch), (sizes, tokens))]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)] + lists, names=["doc", "copy", "number", "leaf", "line", "sketch", "tokens"])

@@ -645,3 +645,13 @@ def test_leaks_odd_rows(spark, docs, no_docs):
     assert got == {(8, 3), (9, 3), (1, None), (2, None), (None, None)}
     assert D.find_leaks(spark, no_docs, items).count() == 0 and D.find_leaks(spark, docs, items.where("false")).count() == 0
     assert D.drop_leaks(spark, docs, items).count() == docs.count() - 5
+
+
+def test_lines_of_texts_parsed_together_are_those_of_each_alone(spark):
+    odd = [None, "", "\n \n", "one", "a b\nc", "a b c d e f g\na b c d e f g\n", "x 1 y 2 z\n\nx 3 y 4 z\nw", "same line here\nsame line here"]
+    texts = odd + [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(200).collect()] + odd
+    together = lines.parse(texts, lines.TokenHashes())
+    alone = [lines.parse([t], lines.TokenHashes()) for t in texts]
+    assert together[0].tolist() == [k for k, a in enumerate(alone) for _ in a[0]]
+    for k in range(1, 7):
+        assert np.array_equal(together[k], np.concatenate([a[k] for a in alone]))
