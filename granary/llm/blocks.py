@@ -4,8 +4,8 @@ Work that depends on a word alone (counting or listing its tokens) is done once
 corpus. What connects words and documents are blocks: a run of documents of one input partition, up to
 BLOCK_CHARS characters. A block's dictionary lists its distinct words, frequent ones first; its documents are one
 row of packed places in that dictionary. Dictionaries are cut into buckets by a hash of the word, and a bucket's
-words from all blocks meet in one task. So the shuffles carry each distinct word of a block once, and a word that
-every document has costs one entry per block.
+words from all blocks meet in one task, which has no other bucket. So the shuffles carry each distinct word of a block
+once, and a word that every document has costs one entry per block.
 
 The texts are read once. Blocks are stored bucketed by name, so that the words' values come back to them without
 a shuffle of the packed texts. A block is named by a digest of its content; blocks of equal content have equal words.
@@ -20,7 +20,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.common import Scratch, give_back
@@ -106,6 +106,19 @@ def bucket_count(docs: DataFrame, text_col: str) -> int:
     return 1 + chars // BUCKET_CHARS
 
 
+def bucket_names(spark: SparkSession, n: int) -> np.ndarray:
+    """Names of n buckets, which Spark's hash deals out to n partitions one by one.
+
+    Numbers in order would meet by chance: of 13 buckets in 12 partitions, three or four are often one task's.
+    """
+    tried = 32 * n
+    while True:
+        found = spark.range(0, tried, 1, 1).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("k")).agg(F.min("id").alias("id")).collect()
+        if len(found) == n:
+            return np.array(sorted(r["id"] for r in found), np.int64)
+        tried *= 2
+
+
 def _buckets(words: list[str], n: int) -> np.ndarray:
     return np.fromiter((crc32(w.encode()) for w in words), np.int64, len(words)) % n
 
@@ -123,7 +136,7 @@ def store(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, split:
     A document is its words' places in order; or, if counted, its distinct places as differences and then their counts.
     mark: kept per text.
     """
-    n_buckets = bucket_count(docs, text_col)
+    names = bucket_names(docs.sparkSession, bucket_count(docs, text_col))
 
     def batch(**columns) -> pa.RecordBatch:
         n = len(columns["block"])
@@ -131,11 +144,11 @@ def store(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, split:
 
     def run(batches):
         for block, words, seqs, ids, sizes, marks in _runs(batches, split, mark):
-            bucket = _buckets(words, n_buckets)
+            bucket = _buckets(words, len(names))
             order = np.argsort(bucket, kind="stable")
             found, first = np.unique(bucket[order], return_index=True)
             flat, offsets = pa.array(words, pa.string()).take(pa.array(order)), pa.array([*first, len(order)], pa.int32())
-            yield batch(block=np.full(len(found), block), bucket=found, words=pa.ListArray.from_arrays(offsets, flat))
+            yield batch(block=np.full(len(found), block), bucket=names[found], words=pa.ListArray.from_arrays(offsets, flat))
             if counted:
                 seqs = [np.concatenate([np.diff(at.astype(np.int64), prepend=0), n]) for at, n in (np.unique(s, return_counts=True) for s in seqs)]
             yield batch(block=[block], ids=[ids], n_bytes=[sizes], marks=[marks], lengths=[[len(s) for s in seqs]], buckets=[pack(bucket)], body=[pack(np.concatenate(seqs))])
@@ -146,7 +159,7 @@ def store(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, split:
     stored = scratch.bucketed(blocks, "blocks", "block", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # Words are read without the buckets: plans that use them twice then share their exchange.
     plain = docs.sparkSession.read.schema(STORED_SQL).parquet(scratch.paths["blocks"])
-    words = plain.where("bucket IS NOT NULL").select("bucket", "block", "words").repartition("bucket")
+    words = plain.where("bucket IS NOT NULL").select("bucket", "block", "words").repartition(len(names), "bucket")
     return stored.where("bucket IS NULL").drop("bucket", "words"), words
 
 
@@ -180,7 +193,8 @@ def assemble(blocks: DataFrame, values: DataFrame, unpack_values: Callable, each
             cell = lambda c: left[c][k]  # noqa: B023, E731
             bucket = unpack(cell("buckets").as_py())
             order = np.argsort(bucket, kind="stable")
-            parts = [found[b] for b in np.unique(bucket).tolist()]
+            # Names grow with the numbers that are packed.
+            parts = [found[b] for b in sorted(found)]
             none = np.zeros(0, np.int64)
             sizes, flat = (np.concatenate([p[k] for p in parts] or [none]) for k in range(2))
             by_bucket = Values(sizes, flat)

@@ -9,6 +9,7 @@ from public_tokenizers import path
 from pyspark.sql import functions as F
 
 from granary.llm import blocks, pieces, tokens
+from granary.llm.common import Scratch
 from granary.llm.registry import op3_token_counts, op5_sentencepiece
 
 BPE, MODEL = path("byte_bpe_50k.json"), path("piece_bpe_32k.model")
@@ -132,3 +133,15 @@ def test_kinds_of_models(tmp_path):
         (tmp_path / kind).write_bytes(data + bytes([0x12, 2, 0x18, number]))
         with pytest.raises(ValueError, match="kind"):
             pieces.load(str(tmp_path / kind))
+
+
+def test_a_task_has_the_words_of_one_bucket(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    chars = docs.agg(F.sum(F.length("text"))).first()[0]
+    monkeypatch.setattr(blocks, "BUCKET_CHARS", chars // 12)
+    _, words = blocks.store(Scratch(spark), docs, "doc_id", "text", str.split, counted=False)
+    tasks = words.select("bucket", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({r.bucket for r in tasks}) == len({r.task for r in tasks}) == len(tasks) >= 13
+    want = {r.doc_id: r.n_tokens for r in op3_token_counts(spark, DATA).collect()}
+    monkeypatch.setattr(blocks, "BUCKET_CHARS", 8_000_000)
+    assert want == {r.doc_id: r.n_tokens for r in op3_token_counts(spark, DATA).collect()}
