@@ -655,3 +655,17 @@ def test_lines_of_texts_parsed_together_are_those_of_each_alone(spark):
     assert together[0].tolist() == [k for k, a in enumerate(alone) for _ in a[0]]
     for k in range(1, 7):
         assert np.array_equal(together[k], np.concatenate([a[k] for a in alone]))
+
+
+def test_windows_are_gone_when_shingles_are_dealt_out(spark, monkeypatch):
+    held, plain = {}, Scratch.table
+
+    def table(self, df, name):
+        held[name] = set(self.paths)
+        return plain(self, df, name)
+
+    monkeypatch.setattr(Scratch, "table", table)
+    assert op8_substring_dedup(spark, DATA).count()
+    assert "inside" in held["frequent"]
+    assert not {"windows", "many"} & (held["further"] | held["frequent"])
+    assert "inside" not in held["rare"]
